@@ -1 +1,6 @@
 """Registered queries over the driver's tables, with their DuckDB oracles."""
+
+from . import line_queries, score_queries, session_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -37,13 +37,18 @@ EXTRA_COLUMNS = ("command", "action", "message", "block_id")
 
 
 def _with_parsed(lines: DataFrame, **columns: Column) -> DataFrame:
-    """The input without helper columns, plus every parsed column (null where not given)."""
+    """The input without helper columns, plus every parsed column (null where not given).
+
+    The parsed columns come out of a generator that gives one row. Filters and join conditions
+    on them then stay above it; otherwise the optimizer would copy the regular expressions into
+    every condition, and run them there once more.
+    """
     kept = [c for c in lines.columns if not c.startswith("__") and c not in PARSED_TYPES]
     parsed = [
         columns.get(name, F.lit(None)).cast(kind).alias(name)
         for name, kind in PARSED_TYPES.items()
     ]
-    return lines.select(*kept, *parsed)
+    return lines.select(*kept, F.inline(F.array(F.struct(*parsed))))
 
 
 def with_extras(parsed: DataFrame) -> DataFrame:
