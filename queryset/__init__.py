@@ -1,6 +1,13 @@
 """Registered queries over the driver's tables, with their DuckDB oracles."""
 
-from . import line_queries, score_queries, session_queries  # noqa: F401
+from . import (  # noqa: F401
+    file_queries,
+    line_queries,
+    model_queries,
+    score_queries,
+    session_queries,
+    stream_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,15 +255,14 @@ def score_column(nodes: DataFrame, features: Sequence[str], fold: Column | None
     Rows come in Arrow batches. Equal rows of a batch are scored once: log features repeat a
     lot. The forest travels with the function; its size is bounded by trees and sample size.
     """
-    import pandas as pd
-
     forests = _forest_arrays(nodes)
 
-    def score(folds: pd.Series, *columns: pd.Series) -> pd.Series:
+    def score(batch: pd.DataFrame) -> pd.Series:
         import numpy as np
         import pandas as pd
 
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        folds = batch["fold"]
+        x = batch.drop(columns="fold").to_numpy(dtype=float)
         out = np.zeros(len(x))
         for number, (depth, feature, cut, length, norm) in forests.items():
             mine = np.flatnonzero(folds.to_numpy() == number)
@@ -283,7 +283,8 @@ def score_column(nodes: DataFrame, features: Sequence[str], fold: Column | None
             out[mine] = -np.exp2(-total / len(feature) / norm)[back.ravel()]
         return pd.Series(out)
 
-    return F.pandas_udf(score, "double")(F.lit(0) if fold is None else fold, *features)
+    number = F.lit(0) if fold is None else fold
+    return F.pandas_udf(score, "double")(F.struct(number.alias("fold"), *features))
 
 
 def score(df: DataFrame, model: Model, out: str = "raw_score") -> DataFrame:
