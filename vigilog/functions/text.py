@@ -22,10 +22,27 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return F.coalesce(text.rlike(java_pattern(pattern, ignore_case)), F.lit(False))
 
 
-def extract(text: Column, pattern: str, group: int, ignore_case: bool = False) -> Column:
-    """A capture group, or null where the pattern or the group does not match."""
-    found = F.regexp_extract(text, java_pattern(pattern, ignore_case), group)
-    return F.nullif(found, F.lit(""))
+def extract(text: Column, pattern: str, group: int) -> Column:
+    """A capture group, or '' where the pattern or the group does not match.
+
+    Turning '' into null is left to ``blank_to_null`` in a later step: done here, it would name
+    the extraction twice and the expression would run twice.
+    """
+    return F.regexp_extract(text, java_pattern(pattern), group)
+
+
+def rewrite(text: Column, pattern: str, layout: str) -> Column:
+    """The layout with the groups of the first match filled in, for text that matches.
+
+    All groups come from one run. Text around the match is dropped.
+    """
+    start = "" if pattern.startswith("^") else "(?s:^.*?)"
+    whole = f"{start}(?:{pattern})(?s:.*)$"
+    return F.regexp_replace(text, java_pattern(whole), layout)
+
+
+def blank_to_null(column: Column) -> Column:
+    return F.when(column != "", column)
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

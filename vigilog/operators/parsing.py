@@ -7,13 +7,11 @@ pattern stay, with event type ``unknown``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import contains_any, extract, matches
+from ..functions.text import blank_to_null, contains_any, extract, matches, rewrite
 
 PARSED_TYPES = {
     "source": "string",
@@ -34,21 +32,46 @@ PARSED_TYPES = {
     "block_id": "string",
 }
 EXTRA_COLUMNS = ("command", "action", "message", "block_id")
+# Fields that regular expressions take from a line, in the order in which they are packed.
+FIELDS = (
+    "kind", "timestamp", "ip", "user", "level", "component", "method", "path", "status",
+    "command", "action", "process", "agent", "message",
+)
+
+
+def _layout(groups: dict[str, int | str]) -> str:
+    """Replacement text that packs groups (by number) and constants, one field per line."""
+    cells = (groups.get(name, "") for name in FIELDS)
+    return "\n".join(f"${cell}" if isinstance(cell, int) else cell for cell in cells)
 
 
-def _with_parsed(lines: DataFrame, **columns: Column) -> DataFrame:
-    """The input without helper columns, plus every parsed column (null where not given).
+def _unpack(lines: DataFrame, packed: Column) -> DataFrame:
+    """Add one text column ``__<field>`` per field of the packed text (null when empty).
 
-    The parsed columns come out of a generator that gives one row. Filters and join conditions
-    on them then stay above it; otherwise the optimizer would copy the regular expressions into
-    every condition, and run them there once more.
+    A line is tested and taken apart by two runs of one regular expression, whatever the number
+    of fields. No line holds a line feed, which therefore separates the fields. The packed text
+    comes out of a generator that gives one row: filters and join conditions on parsed columns
+    stay above it, where the optimizer would otherwise copy the regular expressions into every
+    condition and run them again.
     """
-    kept = [c for c in lines.columns if not c.startswith("__") and c not in PARSED_TYPES]
+    kept = [c for c in lines.columns if c not in PARSED_TYPES]
+    parts = lines.select(*kept, F.explode(F.array(packed)).alias("__packed")).withColumn(
+        "__parts", F.split("__packed", "\n", -1)
+    )
+    fields = {
+        f"__{name}": blank_to_null(F.get("__parts", F.lit(n))) for n, name in enumerate(FIELDS)
+    }
+    return parts.withColumns(fields)
+
+
+def _with_parsed(fields: DataFrame, **columns: Column) -> DataFrame:
+    """The input columns plus every parsed column (null where not given)."""
+    kept = [c for c in fields.columns if not c.startswith("__")]
     parsed = [
         columns.get(name, F.lit(None)).cast(kind).alias(name)
         for name, kind in PARSED_TYPES.items()
     ]
-    return lines.select(*kept, F.inline(F.array(F.struct(*parsed))))
+    return fields.select(*kept, *parsed)
 
 
 def with_extras(parsed: DataFrame) -> DataFrame:
@@ -61,38 +84,34 @@ def with_extras(parsed: DataFrame) -> DataFrame:
 # --- OpenSSH ----------------------------------------------------------------------------
 
 
-def _ssh_kind(raw: Column) -> Column:
-    """Number of the first pattern that matches, or -1."""
-    kind = F
-    for number, p in enumerate(fv.SSH_PATTERNS):
+def _packed_ssh(raw: Column) -> Column:
+    """Fields by the first pattern that matches; ``kind`` is its event type."""
+    packed = F
+    for p in fv.SSH_PATTERNS:
         test = contains_any(raw, p.literals) & matches(raw, p.pattern)
-        kind = kind.when(test, F.lit(number))
-    return kind.otherwise(F.lit(-1))
-
-
-def _ssh_fields(raw: Column, kind: Column, fixed: bool) -> dict[str, Column]:
-    """Parsed columns given the pattern number, so only the winning pattern is run again."""
-
-    def pick(values: dict[int, Column], default: Column | None = None) -> Column:
-        chosen = reduce(lambda acc, kv: acc.when(kind == kv[0], kv[1]), values.items(), F)
-        return chosen if default is None else chosen.otherwise(default)
-
-    numbered = list(enumerate(fv.SSH_PATTERNS))
-    fields = {
-        "event_type": pick({n: F.lit(p.event_type) for n, p in numbered}, F.lit("unknown")),
-        "template": pick(
-            {n: F.lit(p.template) for n, p in numbered}, F.lit(fv.UNKNOWN_TEMPLATES["ssh"])
-        ),
+        layout = _layout({"kind": p.event_type, **p.groups})
+        packed = packed.when(test, rewrite(raw, p.pattern, layout))
+    return packed.otherwise(F.lit(_layout({"kind": "unknown"})))
+
+
+def _ssh_columns(fixed: bool) -> dict[str, Column]:
+    event = F.coalesce("__kind", F.lit("unknown"))
+    templates = {p.event_type: p.template for p in fv.SSH_PATTERNS}
+    table = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    ip = F.col("__ip")
+    if fixed:
+        bracketed = blank_to_null(extract(F.col("raw"), fv.SSH_BREAK_IN_ADDRESS, 1))
+        ip = F.when(event == "break_in_attempt", F.coalesce(bracketed, ip)).otherwise(ip)
+    return {
+        "event_type": event,
+        "template": F.coalesce(F.try_element_at(table, event), F.lit(fv.UNKNOWN_TEMPLATES["ssh"])),
+        "timestamp": F.col("__timestamp"),
+        "ip": ip,
+        "user": F.col("__user"),
+        "command": F.col("__command"),
+        "action": F.col("__action"),
+        "message": F.col("__message"),
     }
-    for name in ("timestamp", "user", "ip", "command", "action", "message"):
-        values = {}
-        for n, p in numbered:
-            if name in p.groups:
-                values[n] = extract(raw, p.pattern, p.groups[name])
-                if fixed and name == "ip" and p.event_type == "break_in_attempt":
-                    values[n] = F.coalesce(extract(raw, fv.SSH_BREAK_IN_ADDRESS, 1), values[n])
-        fields[name] = pick(values)
-    return fields
 
 
 def parse_ssh(lines: DataFrame, fixed: bool = False) -> DataFrame:
@@ -101,9 +120,8 @@ def parse_ssh(lines: DataFrame, fixed: bool = False) -> DataFrame:
     ``fixed`` takes the bracketed address of a break-in line instead of the first digits or
     dots after the phrase.
     """
-    kinds = lines.withColumn("__kind", _ssh_kind(F.col("raw")))
-    fields = _ssh_fields(F.col("raw"), F.col("__kind"), fixed)
-    return _with_parsed(kinds, source=F.lit("ssh"), **fields)
+    fields = _unpack(lines, _packed_ssh(F.col("raw")))
+    return _with_parsed(fields, source=F.lit("ssh"), **_ssh_columns(fixed))
 
 
 # --- HDFS -------------------------------------------------------------------------------
@@ -112,49 +130,45 @@ def parse_ssh(lines: DataFrame, fixed: bool = False) -> DataFrame:
 def parse_hdfs(lines: DataFrame) -> DataFrame:
     """HDFS lines: level, component, block number and an event class."""
     raw = F.col("raw")
-    # The message tells whether the line matches: its group cannot be empty.
-    split = lines.withColumn("__msg", extract(raw, fv.HDFS_LINE, 6)).withColumn(
-        "__level", F.when(F.col("__msg").isNotNull(), extract(raw, fv.HDFS_LINE, 4))
-    ).withColumn(
-        "__component", F.when(F.col("__msg").isNotNull(), extract(raw, fv.HDFS_LINE, 5))
-    )
-    known = F.col("__msg").isNotNull()
+    layout = _layout({"timestamp": "$1 $2", "level": 4, "component": 5, "message": 6})
+    packed = F.when(matches(raw, fv.HDFS_LINE), rewrite(raw, fv.HDFS_LINE, layout))
+    fields = _unpack(lines, packed.otherwise(F.lit("")))
+    known = F.col("__message").isNotNull()
     upper_level = F.upper("__level")
     component = F.lower("__component")
     anomaly = upper_level.isin("ERROR", "WARN") | contains_any(
-        F.lower("__msg"), fv.HDFS_PARSER_WORDS
+        F.lower("__message"), fv.HDFS_PARSER_WORDS
     )
-
-    def classify(on_anomaly: Column, namenode: str, datanode: str, client: str, general: str,
-                 unknown: str) -> Column:
-        return (
-            F.when(~known, unknown)
-            .when(anomaly, on_anomaly)
-            .when(component.contains("namenode"), namenode)
-            .when(component.contains("datanode"), datanode)
-            .when(component.contains("client"), client)
-            .otherwise(general)
+    event = (
+        F.when(~known, "unknown")
+        .when(anomaly, "hdfs_anomaly")
+        .when(component.contains("namenode"), "hdfs_namenode")
+        .when(component.contains("datanode"), "hdfs_datanode")
+        .when(component.contains("client"), "hdfs_client")
+        .otherwise("hdfs_general")
+    )
+    fields = fields.withColumn("__event", event)
+    event = F.col("__event")
+    template = (
+        F.when(
+            event == "hdfs_anomaly",
+            F.concat(F.lit("HDFS "), upper_level, F.lit(" <COMPONENT>: <ANOMALY_MSG>")),
         )
-
+        .when(event == "hdfs_namenode", "HDFS NameNode: <MSG>")
+        .when(event == "hdfs_datanode", "HDFS DataNode: <MSG>")
+        .when(event == "hdfs_client", "HDFS Client: <MSG>")
+        .when(event == "hdfs_general", "HDFS <COMPONENT>: <MSG>")
+        .otherwise(fv.UNKNOWN_TEMPLATES["hdfs"])
+    )
     return _with_parsed(
-        split,
+        fields,
         source=F.lit("hdfs"),
-        timestamp=F.when(
-            known,
-            F.concat_ws(" ", extract(raw, fv.HDFS_LINE, 1), extract(raw, fv.HDFS_LINE, 2)),
-        ),
+        timestamp=F.col("__timestamp"),
         log_level=F.col("__level"),
         component=F.col("__component"),
-        block_id=extract(F.col("__msg"), fv.HDFS_BLOCK_NUMBER, 1),
-        event_type=classify(
-            F.lit("hdfs_anomaly"), "hdfs_namenode", "hdfs_datanode", "hdfs_client",
-            "hdfs_general", "unknown",
-        ),
-        template=classify(
-            F.concat(F.lit("HDFS "), upper_level, F.lit(" <COMPONENT>: <ANOMALY_MSG>")),
-            "HDFS NameNode: <MSG>", "HDFS DataNode: <MSG>", "HDFS Client: <MSG>",
-            "HDFS <COMPONENT>: <MSG>", fv.UNKNOWN_TEMPLATES["hdfs"],
-        ),
+        block_id=blank_to_null(extract(F.col("__message"), fv.HDFS_BLOCK_NUMBER, 1)),
+        event_type=event,
+        template=template,
     )
 
 
@@ -167,38 +181,46 @@ def parse_apache(lines: DataFrame, fixed: bool = False) -> DataFrame:
     ``fixed`` also reads the user agent, the last quoted field of an access line.
     """
     raw = F.col("raw")
-    error_form = F.col("__msg").isNotNull()
-    access_form = F.col("__status").isNotNull()
-    split = lines.withColumn("__msg", extract(raw, fv.APACHE_ERROR_LINE, 3)).withColumn(
-        "__status", F.when(~error_form, extract(raw, fv.APACHE_ACCESS_LINE, 5))
-    ).withColumn(
-        "__level", F.when(error_form, extract(raw, fv.APACHE_ERROR_LINE, 2))
-    ).withColumn(
-        "__method", F.when(access_form, extract(raw, fv.APACHE_ACCESS_LINE, 3))
+    error_layout = _layout({"kind": "error", "timestamp": 1, "level": 2, "message": 3})
+    access_layout = _layout(
+        {"kind": "access", "ip": 1, "timestamp": 2, "method": 3, "path": 4, "status": 5}
     )
+    packed = (
+        F.when(
+            matches(raw, fv.APACHE_ERROR_LINE), rewrite(raw, fv.APACHE_ERROR_LINE, error_layout)
+        )
+        .when(
+            raw.contains('"') & matches(raw, fv.APACHE_ACCESS_LINE),
+            rewrite(raw, fv.APACHE_ACCESS_LINE, access_layout),
+        )
+        .otherwise(F.lit(""))
+    )
+    fields = _unpack(lines, packed)
     level, method = F.col("__level"), F.col("__method")
     status = F.col("__status").try_cast("int")
-    message = F.lower("__msg")
+    message = F.lower("__message")
+    error_form, access_form = F.col("__kind") == "error", F.col("__kind") == "access"
     agent = extract(raw, r"\"[^\"]*\"\s+\"([^\"]*)\"\s*$", 1)
     return _with_parsed(
-        split,
+        fields,
         source=F.lit("apache"),
-        timestamp=F.when(error_form, extract(raw, fv.APACHE_ERROR_LINE, 1)).when(
-            access_form, extract(raw, fv.APACHE_ACCESS_LINE, 2)
-        ),
+        timestamp=F.col("__timestamp"),
         log_level=level,
-        ip=F.when(access_form, extract(raw, fv.APACHE_ACCESS_LINE, 1)),
+        ip=F.col("__ip"),
         method=method,
-        path=F.when(access_form, F.lower(extract(raw, fv.APACHE_ACCESS_LINE, 4))),
+        path=F.lower("__path"),
         status_code=status,
-        user_agent=F.when(access_form, agent) if fixed else F.lit(None),
+        user_agent=F.when(access_form, blank_to_null(agent)) if fixed else F.lit(None),
         event_type=F.when(error_form & level.isin(*fv.APACHE_ERROR_LEVELS), "apache_error")
         .when(error_form & contains_any(message, ("access", "denied")), "apache_access_denied")
         .when(error_form, F.concat(F.lit("apache_"), level))
         .when(access_form, F.concat(F.lit("http_"), F.lower(method)))
         .otherwise("unknown"),
         template=F.when(error_form, F.concat(F.lit("Apache ["), F.upper(level), F.lit("] <MSG>")))
-        .when(access_form, F.concat_ws(" ", F.lit("HTTP"), method, F.lit("<PATH>"), status.cast("string")))
+        .when(
+            access_form,
+            F.concat_ws(" ", F.lit("HTTP"), method, F.lit("<PATH>"), status.cast("string")),
+        )
         .otherwise(fv.UNKNOWN_TEMPLATES["apache"]),
     )
 
@@ -207,33 +229,41 @@ def parse_apache(lines: DataFrame, fixed: bool = False) -> DataFrame:
 
 
 def parse_linux(lines: DataFrame, fixed: bool = False) -> DataFrame:
-    """Syslog lines. Lines of an sshd process are parsed, and sourced, as OpenSSH lines."""
+    """Syslog lines. Lines of an sshd process are parsed, and sourced, as OpenSSH lines.
+
+    A line is taken apart as syslog first; only lines of sshd are then taken apart again.
+    """
     raw = F.col("raw")
-    known = F.col("__msg").isNotNull()
-    process = F.col("__process")
-    sshd = F.coalesce(process.contains("sshd"), F.lit(False))
-    split = lines.withColumn("__msg", extract(raw, fv.LINUX_LINE, 5)).withColumn(
-        "__process", F.when(known, F.lower(extract(raw, fv.LINUX_LINE, 3)))
-    ).withColumn("__kind", F.when(sshd, _ssh_kind(raw)))
-    as_ssh = _ssh_fields(raw, F.col("__kind"), fixed)
-    linux_event = (
-        F.when(~known, "unknown")
-        .when(contains_any(F.lower("__msg"), fv.LINUX_ERROR_WORDS), "linux_error")
+    layout = _layout({"timestamp": 1, "process": 3, "message": 5})
+    packed = F.when(matches(raw, fv.LINUX_LINE), rewrite(raw, fv.LINUX_LINE, layout))
+    syslog = _unpack(lines, packed.otherwise(F.lit("")))
+    process, message = F.lower("__process"), F.lower("__message")
+    own = {
+        "event_type": F.when(process.isNull(), "unknown")
+        .when(contains_any(message, fv.LINUX_ERROR_WORDS), "linux_error")
         .when(process.contains("kernel"), "kernel_event")
-        .otherwise("linux_general")
+        .otherwise("linux_general"),
+        "template": F.when(
+            process.isNotNull(), F.concat(F.lit("Linux "), process, F.lit(": <MSG>"))
+        ).otherwise(fv.UNKNOWN_TEMPLATES["linux"]),
+        "timestamp": F.col("__timestamp"),
+    }
+    sshd = F.coalesce(process.contains("sshd"), F.lit(False))
+    kept = [c for c in lines.columns if c not in PARSED_TYPES]
+    syslog = syslog.select(
+        *kept, sshd.alias("own_sshd"), *[c.alias(f"own_{n}") for n, c in own.items()]
     )
-    linux_template = F.when(
-        known, F.concat(F.lit("Linux "), process, F.lit(": <MSG>"))
-    ).otherwise(fv.UNKNOWN_TEMPLATES["linux"])
-    linux_time = F.when(known, extract(raw, fv.LINUX_LINE, 1))
-    own = {"event_type": linux_event, "template": linux_template, "timestamp": linux_time}
-    fields = {
-        name: F.when(sshd, column).otherwise(own[name]) if name in own else F.when(sshd, column)
-        for name, column in as_ssh.items()
+    fields = _unpack(syslog, F.when(F.col("own_sshd"), _packed_ssh(raw)).otherwise(F.lit("")))
+    columns = {
+        name: F.when(F.col("own_sshd"), column).otherwise(F.col(f"own_{name}"))
+        if name in own
+        else column
+        for name, column in _ssh_columns(fixed).items()
     }
-    return _with_parsed(
-        split, source=F.when(sshd, "ssh").otherwise("linux"), **fields
+    parsed = _with_parsed(
+        fields, source=F.when(F.col("own_sshd"), "ssh").otherwise("linux"), **columns
     )
+    return parsed.drop("own_sshd", *[f"own_{n}" for n in own])
 
 
 PARSERS = {"ssh": parse_ssh, "hdfs": parse_hdfs, "apache": parse_apache, "linux": parse_linux}
@@ -248,23 +278,22 @@ def parse_source(lines: DataFrame, source: str) -> DataFrame:
 
 
 def parse_hdfs_sessions(lines: DataFrame) -> DataFrame:
-    """HDFS lines for session work; lines that do not match are dropped.
-
-    ``content`` may be empty, so the component tells whether a line matches.
-    """
+    """HDFS lines for session work; lines that do not match are dropped. Content may be empty."""
     raw = F.col("raw")
-    kept = lines.withColumn("component", extract(raw, fv.HDFS_SESSION_LINE, 5)).filter(
-        F.col("component").isNotNull()
-    ).withColumn("content", F.regexp_extract(raw, "(?dU)" + fv.HDFS_SESSION_LINE, 6))
-    return kept.withColumns(
-        {
-            "date": extract(raw, fv.HDFS_SESSION_LINE, 1),
-            "time": extract(raw, fv.HDFS_SESSION_LINE, 2),
-            "pid": extract(raw, fv.HDFS_SESSION_LINE, 3).try_cast("bigint"),
-            "level": extract(raw, fv.HDFS_SESSION_LINE, 4),
-            "block_id": extract(F.col("content"), fv.HDFS_BLOCK, 1),
-        }
+    cells = "$1\n$2\n$3\n$4\n$5\n$6"
+    packed = F.when(
+        matches(raw, fv.HDFS_SESSION_LINE), rewrite(raw, fv.HDFS_SESSION_LINE, cells)
+    )
+    parts = (
+        lines.select("*", F.explode(F.array(packed)).alias("__packed"))
+        .filter(F.col("__packed").isNotNull())
+        .withColumn("__parts", F.split("__packed", "\n", -1))
     )
+    names = ("date", "time", "pid", "level", "component", "content")
+    fields = {name: F.get("__parts", F.lit(n)) for n, name in enumerate(names)}
+    fields["pid"] = fields["pid"].try_cast("bigint")
+    block = blank_to_null(extract(F.col("content"), fv.HDFS_BLOCK, 1))
+    return parts.withColumns(fields).withColumn("block_id", block).drop("__packed", "__parts")
 
 
 def _cluster_fields(lines: DataFrame, fields: int) -> DataFrame:
