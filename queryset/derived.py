@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilog.sources.shared import spread
+
 # Time formats as (Spark pattern, DuckDB pattern).
 SYSLOG_TIME = ("MMM dd HH:mm:ss", "%b %d %H:%M:%S")
 ACCESS_TIME = ("dd/MMM/yyyy:HH:mm:ss", "%d/%b/%Y:%H:%M:%S")
@@ -161,9 +163,8 @@ def duck_line(kind: str) -> str:
 
 def raw_lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """``line_key``, ``value``, ``raw`` and the columns some queries need, from ``events``."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
-        "event_id AS line_key", "value", f"{_fill(LINES[kind], 0)} AS raw"
-    )
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    return events.selectExpr("event_id AS line_key", "value", f"{_fill(LINES[kind], 0)} AS raw")
 
 
 def block_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,58 +220,71 @@ AI_RULE = ("AI-001", "Anomaly — Unknown Pattern")
 
 
 class LineCount(NamedTuple):
-    """A feature that counts the lines of a session that match a pattern."""
+    """A feature that counts the lines of a session that match a pattern.
+
+    ``literals`` are texts (lower case if case is ignored) of which a matching line holds at
+    least one: a cheap test that spares most runs of the pattern.
+    """
 
     name: str
     pattern: str
     ignore_case: bool = False
+    literals: tuple[str, ...] = ()
 
 
 HDFS_COUNTS: tuple[LineCount, ...] = (
-    LineCount("error_count", r"Exception|Error|Failed|failed|WARN|WARNING", True),
-    LineCount("replicate_count", r"replicate|Replicat", True),
-    LineCount("count_E1", r"Receiving block"),
-    LineCount("count_E2", r"Served block"),
-    LineCount("count_E3", r"writeBlock"),
-    LineCount("count_E4", r"Deleting block"),
-    LineCount("count_E5", r"received block"),
-    LineCount("count_E6", r"PacketResponder.*Exception"),
-    LineCount("count_E7", r"Exception|Error|Failed|failed"),
-    LineCount("count_E8", r"heartbeat"),
-    LineCount("count_E9", r"allocate"),
-    LineCount("count_E10", r"replicate|Replicat"),
-    LineCount("count_E11", r"WARN|WARNING"),
-    LineCount("count_E12", r"INFO"),
+    LineCount("error_count", r"Exception|Error|Failed|failed|WARN|WARNING", True,
+              ("exception", "error", "failed", "warn")),
+    LineCount("replicate_count", r"replicate|Replicat", True, ("replicat",)),
+    LineCount("count_E1", r"Receiving block", literals=("Receiving block",)),
+    LineCount("count_E2", r"Served block", literals=("Served block",)),
+    LineCount("count_E3", r"writeBlock", literals=("writeBlock",)),
+    LineCount("count_E4", r"Deleting block", literals=("Deleting block",)),
+    LineCount("count_E5", r"received block", literals=("received block",)),
+    LineCount("count_E6", r"PacketResponder.*Exception", literals=("PacketResponder",)),
+    LineCount("count_E7", r"Exception|Error|Failed|failed", literals=("Exception", "Error", "Failed", "failed")),
+    LineCount("count_E8", r"heartbeat", literals=("heartbeat",)),
+    LineCount("count_E9", r"allocate", literals=("allocate",)),
+    LineCount("count_E10", r"replicate|Replicat", literals=("replicate", "Replicat")),
+    LineCount("count_E11", r"WARN|WARNING", literals=("WARN",)),
+    LineCount("count_E12", r"INFO", literals=("INFO",)),
 )
 HDFS_SIZE = r"size\s+(\d+)"
 HDFS_COMPONENT = r"dfs\.(\w+)"
 
 BGL_COUNTS: tuple[LineCount, ...] = (
-    LineCount("fatal_count", r"\bFATAL\b", True),
-    LineCount("error_count", r"\b(error|fail|fault|exception|corrupt|crash|abort)\b", True),
-    LineCount("warn_count", r"\b(warn|WARNING|SEVERE)\b", True),
-    LineCount("kern_count", r"\bKERNEL\b", True),
-    LineCount("app_count", r"\bAPP\b", True),
-    LineCount("ciod_count", r"\bciod\b", True),
-    LineCount("timeout_count", r"\btimeout\b", True),
-    LineCount("mem_count", r"\b(memory|ddr|parity|ecc|corrected)\b", True),
+    LineCount("fatal_count", r"\bFATAL\b", True, ("fatal",)),
+    LineCount("error_count", r"\b(error|fail|fault|exception|corrupt|crash|abort)\b", True,
+              ("error", "fail", "fault", "exception", "corrupt", "crash", "abort")),
+    LineCount("warn_count", r"\b(warn|WARNING|SEVERE)\b", True, ("warn", "severe")),
+    LineCount("kern_count", r"\bKERNEL\b", True, ("kernel",)),
+    LineCount("app_count", r"\bAPP\b", True, ("app",)),
+    LineCount("ciod_count", r"\bciod\b", True, ("ciod",)),
+    LineCount("timeout_count", r"\btimeout\b", True, ("timeout",)),
+    LineCount("mem_count", r"\b(memory|ddr|parity|ecc|corrected)\b", True,
+              ("memory", "ddr", "parity", "ecc", "corrected")),
     LineCount(
         "fatal_type_ct",
         r"\b(TLB|storage\s+interrupt|machine\s+check|program\s+interrupt)\b",
         True,
+        ("tlb", "interrupt", "check"),
     ),
 )
 BGL_RACK = r"R\d+-M\d+-N"
 
 THUNDERBIRD_COUNTS: tuple[LineCount, ...] = (
-    LineCount("fatal_count", r"\bfatal\b", True),
-    LineCount("error_count", r"\b(error|fail|fault|failed|cannot|denied|refused)\b", True),
-    LineCount("warn_count", r"\b(warn|warning)\b", True),
-    LineCount("link_count", r"\blink\b", True),
-    LineCount("proc_count", r"\b(crond|sshd|ntpd|sendmail)\b", True),
-    LineCount("timeout_count", r"\b(timeout|not answer|lost)\b", True),
-    LineCount("switch_count", r"\b(ib_sm|ganglia|gmetad)\b", True),
-    LineCount("mem_count", r"\b(memory|ecc|parity)\b", True),
+    LineCount("fatal_count", r"\bfatal\b", True, ("fatal",)),
+    LineCount("error_count", r"\b(error|fail|fault|failed|cannot|denied|refused)\b", True,
+              ("error", "fail", "fault", "cannot", "denied", "refused")),
+    LineCount("warn_count", r"\b(warn|warning)\b", True, ("warn",)),
+    LineCount("link_count", r"\blink\b", True, ("link",)),
+    LineCount("proc_count", r"\b(crond|sshd|ntpd|sendmail)\b", True,
+              ("crond", "sshd", "ntpd", "sendmail")),
+    LineCount("timeout_count", r"\b(timeout|not answer|lost)\b", True,
+              ("timeout", "not answer", "lost")),
+    LineCount("switch_count", r"\b(ib_sm|ganglia|gmetad)\b", True,
+              ("ib_sm", "ganglia", "gmetad")),
+    LineCount("mem_count", r"\b(memory|ecc|parity)\b", True, ("memory", "ecc", "parity")),
 )
 
 # --- fixed values: session rules in table order -----------------------------------------
@@ -294,45 +307,62 @@ class SessionRule(NamedTuple):
     max_len: int | None = None
     feature: str | None = None
     threshold: float | None = None
+    literals: tuple[str, ...] = ()
 
 
 HDFS_RULES: tuple[SessionRule, ...] = (
     SessionRule("HDFS-001", "PacketResponder Exception", 1.0, "CRITICAL",
-                r"PacketResponder.*\bException\b", True),
+                r"PacketResponder.*\bException\b", True,
+                literals=("packetresponder",)),
     SessionRule("HDFS-002", "Block Transfer Failed", 0.9, "HIGH",
-                r"(writeBlock|receiveBlock).*[Ff]ailed|[Ff]ailed.*(writeBlock|receiveBlock)"),
-    SessionRule("HDFS-003", "IOException During Block Op", 0.85, "HIGH", r"\bIOException\b"),
+                r"(writeBlock|receiveBlock).*[Ff]ailed|[Ff]ailed.*(writeBlock|receiveBlock)",
+                literals=("ailed",)),
+    SessionRule("HDFS-003", "IOException During Block Op", 0.85, "HIGH", r"\bIOException\b",
+                literals=("IOException",)),
     SessionRule("HDFS-004", "Excessive Replication", 0.7, "MEDIUM",
                 feature="replicate_count", threshold=6),
     SessionRule("HDFS-006", "High Error Rate in Block", 0.8, "HIGH",
                 feature="error_ratio", threshold=0.5),
-    SessionRule("HDFS-007", "Excessive Warnings", 0.5, "MEDIUM", r"\bWARN\b", min_lines=5),
+    SessionRule("HDFS-007", "Excessive Warnings", 0.5, "MEDIUM", r"\bWARN\b", min_lines=5,
+                literals=("WARN",)),
     SessionRule("HDFS-008", "Short Failed Block", 0.8, "HIGH",
-                r"\b(Exception|IOException|Failed)\b", max_len=5),
+                r"\b(Exception|IOException|Failed)\b", max_len=5,
+                literals=("Exception", "Failed")),
 )
 BGL_RULES: tuple[SessionRule, ...] = (
-    SessionRule("BGL-001", "Kernel FATAL Event", 1.0, "CRITICAL", r"KERNEL\s+FATAL", True),
-    SessionRule("BGL-002", "APP FATAL Failure", 0.95, "CRITICAL", r"APP\s+FATAL", True),
+    SessionRule("BGL-001", "Kernel FATAL Event", 1.0, "CRITICAL", r"KERNEL\s+FATAL", True,
+                literals=("kernel",)),
+    SessionRule("BGL-002", "APP FATAL Failure", 0.95, "CRITICAL", r"APP\s+FATAL", True,
+                literals=("app",)),
     SessionRule("BGL-003", "ciod Process Failure", 0.9, "HIGH",
-                r"ciod:.*(?:fail|error|Error|cannot|No such)", True),
+                r"ciod:.*(?:fail|error|Error|cannot|No such)", True,
+                literals=("ciod:",)),
     SessionRule("BGL-004", "Data TLB / Storage Interrupt", 0.95, "CRITICAL",
-                r"(data\s+TLB\s+error|data\s+storage\s+interrupt)", True),
+                r"(data\s+TLB\s+error|data\s+storage\s+interrupt)", True,
+                literals=("data",)),
     SessionRule("BGL-005", "High Fatal Ratio in Window", 0.85, "HIGH",
                 feature="fatal_ratio", threshold=0.3),
     SessionRule("BGL-006", "Machine Check / Program Interrupt", 0.9, "CRITICAL",
-                r"(machine\s+check|program\s+interrupt|machine\s+state)", True),
+                r"(machine\s+check|program\s+interrupt|machine\s+state)", True,
+                literals=("machine", "interrupt")),
     SessionRule("BGL-007", "Discovery SEVERE / WARNING", 0.7, "MEDIUM",
-                r"DISCOVERY\s+(SEVERE|WARNING)", True),
+                r"DISCOVERY\s+(SEVERE|WARNING)", True,
+                literals=("discovery",)),
 )
 THUNDERBIRD_RULES: tuple[SessionRule, ...] = (
-    SessionRule("TB-001", "Hardware FATAL", 1.0, "CRITICAL", r"FATAL", True),
+    SessionRule("TB-001", "Hardware FATAL", 1.0, "CRITICAL", r"FATAL", True,
+                literals=("fatal",)),
     SessionRule("TB-002", "Memory Parity/ECC Error", 0.95, "CRITICAL",
-                r"(parity\s+error|ecc\s+error|uncorrectable)", True),
-    SessionRule("TB-003", "Link Failure", 0.9, "HIGH", r"link\s+(down|fail|error|lost)", True),
+                r"(parity\s+error|ecc\s+error|uncorrectable)", True,
+                literals=("parity", "ecc", "uncorrectable")),
+    SessionRule("TB-003", "Link Failure", 0.9, "HIGH", r"link\s+(down|fail|error|lost)", True,
+                literals=("link",)),
     SessionRule("TB-004", "Switch/Fabric Error", 0.85, "HIGH",
-                r"ib_sm.*(error|fail|cannot)", True),
+                r"ib_sm.*(error|fail|cannot)", True,
+                literals=("ib_sm",)),
     SessionRule("TB-005", "Node Timeout / Offline", 0.7, "MEDIUM",
-                r"(not\s+answer|connection\s+refused|timeout|unreachable)", True),
+                r"(not\s+answer|connection\s+refused|timeout|unreachable)", True,
+                literals=("answer", "refused", "timeout", "unreachable")),
     SessionRule("TB-006", "High Error Ratio", 0.8, "HIGH",
                 feature="error_ratio", threshold=0.3),
 )

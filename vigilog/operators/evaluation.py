@@ -227,36 +227,30 @@ def line_contamination(df: DataFrame) -> DataFrame:
 def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
     """A quantile with linear interpolation between neighbours, exact at any size.
 
-    Two approximate quantiles bracket the answer. Rows below the bracket are only counted; the
-    values inside are reduced to distinct values with counts, a set whose size the accuracy of
-    the bracket bounds, and looked up by running count.
+    Two approximate quantiles bracket the answer, a few times wider than their error and by at
+    least three rows. Rows below the bracket are only counted; the values inside are reduced to
+    distinct values with counts, a set whose size the accuracy of the bracket bounds, and looked
+    up by running count.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    accuracy, slack = 100_000, 4e-5
-    brackets = [max(0.0, share - slack), min(1.0, share + slack)]
-    n, bracket = values.agg(
-        F.count("*"), F.percentile_approx("v", F.lit(brackets).cast("array<double>"), accuracy)
-    ).first()
+    n = values.count()
     if not n:
         return None
-    place = share * (n - 1)
-    low, high = int(place), min(int(place) + 1, n - 1)
-    if share <= slack:
-        bracket[0] = float("-inf")
-    if share >= 1 - slack:
-        bracket[1] = float("inf")
-    # The place above the bracketed one may just miss the bracket: its value is the next one up.
-    below = values.filter(F.col("v") < bracket[0]).count()
-    inside = values.filter((F.col("v") >= bracket[0]) & (F.col("v") <= bracket[1]))
+    accuracy = 100_000
+    slack = max(4 / accuracy, 3 / n)
+    shares = F.lit([max(0.0, share - slack), min(1.0, share + slack)]).cast("array<double>")
+    start, end = values.agg(F.percentile_approx("v", shares, accuracy)).first()[0]
+    inside = values.filter((F.col("v") >= start) & (F.col("v") <= end))
+    below = values.filter(F.col("v") < start).count()
     running = inside.groupBy("v").agg(F.count("*").alias("n")).withColumn(
         "upto", F.sum("n").over(Window.orderBy("v")) + below
     )
-    at = [
-        running.filter(F.col("upto") > place_).agg(F.min("v")).first()[0] for place_ in (low, high)
-    ]
-    if at[1] is None:
-        at[1] = values.filter(F.col("v") > bracket[1]).agg(F.min("v")).first()[0]
-    return at[0] + (at[1] - at[0]) * (place - low)
+    place = share * (n - 1)
+    low, high = int(place), min(int(place) + 1, n - 1)
+    at_low, at_high = running.agg(
+        F.min(F.when(F.col("upto") > low, F.col("v"))), F.min(F.when(F.col("upto") > high, F.col("v")))
+    ).first()
+    return at_low + (at_high - at_low) * (place - low)
 
 
 def flag_outliers(df: DataFrame, score: str, cut: float | None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.text import java_pattern, matches
+from ..functions.text import blank_to_null, java_pattern
 from .windows import WINDOW_KEY, window_lines
 
 HDFS_FEATURES = (
@@ -35,15 +35,27 @@ class Evidence:
     def __init__(self, counts: Sequence[fv.LineCount], rules: Sequence[fv.SessionRule]):
         self.counts = [c.name for c in counts]
         self.rule_lines = [r for r in rules if r.pattern]
-        self.patterns = [(c.pattern, c.ignore_case) for c in counts]
-        self.patterns += [(r.pattern, r.ignore_case) for r in self.rule_lines]
+        self.patterns = [(p.pattern, p.ignore_case, p.literals) for p in [*counts, *self.rule_lines]]
 
-    def bits(self, text: Column) -> Column:
+    def bits(self, lines: DataFrame, text: str, out: str) -> DataFrame:
+        """Add the packed bits of a text column.
+
+        A pattern runs only on texts that hold one of its literals. Comparing lower case finds
+        the literals of patterns that ignore case in plain text; in text with other letters,
+        some of which also count as equal, such patterns always run.
+        """
+        helped = lines.withColumn("__lower", F.lower(text)).withColumn(
+            "__odd", F.length(text) != F.octet_length(text)
+        )
         packed = F.lit(0).cast("bigint")
-        for number, (pattern, ignore_case) in enumerate(self.patterns):
-            hit = F.when(matches(text, pattern, ignore_case), F.lit(1 << number).cast("bigint"))
-            packed = packed.bitwiseOR(hit.otherwise(F.lit(0).cast("bigint")))
-        return packed
+        for number, (pattern, ignore_case, literals) in enumerate(self.patterns):
+            likely = F.col("__odd") if ignore_case else F.lit(False)
+            for word in literals:
+                likely = F.col("__lower" if ignore_case else text).contains(word) | likely
+            hit = likely & F.col(text).rlike(java_pattern(pattern, ignore_case))
+            bit = F.when(hit, F.lit(1 << number).cast("bigint"))
+            packed = packed.bitwiseOR(bit.otherwise(F.lit(0).cast("bigint")))
+        return helped.withColumn(out, packed).drop("__lower", "__odd")
 
     def sums(self, bits: str, lines: Column) -> list[Column]:
         """Matching lines per pattern; ``lines`` is the number of lines a row stands for."""
@@ -81,18 +93,19 @@ def hdfs_blocks(lines: DataFrame) -> DataFrame:
         .groupBy("block_id", "content")
         .agg(F.count("*").alias("__n"))
     )
-    size = F.nullif(
-        F.regexp_extract("content", java_pattern(fv.HDFS_SIZE), 1), F.lit("")
+    size = F.when(
+        F.col("content").contains("size"),
+        F.regexp_extract("content", java_pattern(fv.HDFS_SIZE), 1),
     ).try_cast("bigint")
     components = F.array_distinct(
         F.regexp_extract_all("content", F.lit(java_pattern(fv.HDFS_COMPONENT)), F.lit(1))
     )
     own_row = F.array(F.lit(None).cast("string"))
-    rows = texts.select(
+    rows = HDFS_EVIDENCE.bits(texts, "content", "__bits").select(
         "block_id",
         "__n",
         size.alias("__size"),
-        HDFS_EVIDENCE.bits(F.col("content")).alias("__bits"),
+        "__bits",
         F.when(F.col("content").contains("dfs."), F.concat(own_row, components))
         .otherwise(own_row)
         .alias("__components"),
@@ -127,17 +140,15 @@ def _cluster_windows(
     ``window_lines`` leaves each window in one partition, so the two levels of grouping below
     run without a shuffle.
     """
-    marked = lines.select(
-        "node", "line_key", "label", "content", evidence.bits(F.col("content")).alias("__bits")
-    )
+    marked = evidence.bits(lines.select("node", "line_key", "label", "content"), "content", "__bits")
     keys = [*WINDOW_KEY, "content", "__bits"]
     texts = window_lines(marked, size, step).groupBy(*keys).agg(
         F.count("*").alias("__n"), F.max("label").alias("label")
     )
     distinct = []
     if rack:
-        found = F.nullif(F.regexp_extract("content", java_pattern(rack), 0), F.lit(""))
-        texts = texts.withColumn("__rack", found)
+        found = F.regexp_extract("content", java_pattern(rack), 0)
+        texts = texts.withColumn("__rack", found).withColumn("__rack", blank_to_null(F.col("__rack")))
         distinct = [F.count_distinct("__rack").alias("unique_nodes")]
     return (
         texts.groupBy(*WINDOW_KEY)
