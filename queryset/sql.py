@@ -631,7 +631,7 @@ cte(
 )
 cte(
     "transitions",
-    """SELECT ctx, nxt, count(*) AS n, min({'node': node, 'place': win_no * 1000 + start}) AS first
+    """SELECT ctx, nxt, count(*) AS n, min({'node': node, 'place': win_no * 1000000 + start}) AS first
     FROM grams WHERE label = 0 GROUP BY ctx, nxt""",
     "grams",
 )
