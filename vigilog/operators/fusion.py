@@ -28,7 +28,11 @@ def normalise_scores(
     join is left to Spark to plan by size.
     """
     bounds = scored.groupBy(*by).agg(F.min(raw).alias("__low"), F.max(raw).alias("__high"))
-    joined = scored.join(bounds, list(by)) if by else scored.crossJoin(F.broadcast(bounds))
+    if by:
+        joined = scored.join(bounds, list(by))
+    else:
+        ends = {c: bounds.select(c).scalar() for c in ("__low", "__high")}
+        joined = scored.withColumns(ends)
     invert = invert_minmax_eps if eps else invert_minmax
     score = invert(F.col(raw), F.col("__low"), F.col("__high"))
     return joined.withColumn(out, score).drop("__low", "__high")
@@ -85,8 +89,10 @@ def rule_predictions(lines: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def rule_alerts_fused(alerts: DataFrame, scored: DataFrame) -> DataFrame:
     """Rule alerts fused with the mean anomaly score of all lines."""
-    mean = scored.agg(F.avg("anomaly_score").alias("anomaly_score"))
-    joined = alerts.crossJoin(F.broadcast(mean)).withColumn("detection_method", F.lit("Rule + AI"))
+    mean = scored.agg(F.avg("anomaly_score").alias("anomaly_score")).scalar()
+    joined = alerts.withColumns(
+        {"anomaly_score": mean, "detection_method": F.lit("Rule + AI")}
+    )
     return fuse(joined).select(*HYBRID_COLUMNS)
 
 

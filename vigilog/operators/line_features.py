@@ -76,8 +76,8 @@ def ip_burst(parsed: DataFrame) -> DataFrame:
             F.sum(flag(failed)).cast("bigint").alias("ip_fail_count"),
         )
     )
-    total = parsed.agg(F.greatest(F.count("*"), F.lit(1)).alias("__lines"))
-    joined = lookup(parsed, per_ip, "ip", weight="ip_total_count").crossJoin(F.broadcast(total))
+    total = parsed.agg(F.greatest(F.count("*"), F.lit(1)).alias("__lines")).scalar()
+    joined = lookup(parsed, per_ip, "ip", weight="ip_total_count").withColumn("__lines", total)
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("ip_total_count", "ip_fail_count")}
     return (
         joined.withColumns(counts)

@@ -36,10 +36,8 @@ def lookup(
     if weight is None:
         weight = "__weight"
         dim = count_keys(facts, key).join(dim, key, "left")
-    total = dim.agg(F.sum(weight).alias("__total"))
-    split = dim.crossJoin(F.broadcast(total)).withColumn(
-        "__hot", F.col(weight) * HOT_SHARE > F.col("__total")
-    )
+    total = dim.agg(F.sum(weight).alias("__total")).scalar()
+    split = dim.withColumn("__hot", F.col(weight) * HOT_SHARE > total)
     hot = split.filter("__hot").select(
         F.col(key).alias("__hot_key"), F.struct(*values).alias("__hot_values")
     )

@@ -53,11 +53,12 @@ def first_critical(alerts: DataFrame) -> DataFrame:
 def threat_histogram(alerts: DataFrame, bins: int = 20) -> DataFrame:
     """Equal-width bins between the lowest and the highest threat score: ``bin``, ``alerts``."""
     bounds = alerts.agg(F.min("threat_score").alias("__low"), F.max("threat_score").alias("__high"))
+    ends = {c: bounds.select(c).scalar() for c in ("__low", "__high")}
     span = F.col("__high") - F.col("__low")
     place = F.floor((F.col("threat_score") - F.col("__low")) * bins / F.when(span > 0, span))
     number = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1))
     return (
-        alerts.crossJoin(F.broadcast(bounds))
+        alerts.withColumns(ends)
         .groupBy(number.alias("bin"))
         .agg(F.count("*").alias("alerts"))
     )
