@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_pairs import BytePairs
+from .language import identify, train
+from .mixing import mix
+from .multiset import with_next
+from .simhash import as_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +45,79 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: Weights that sources take in turn. Fixed values.
+WEIGHTS = [5, 2, 1]
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT AS hash
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source),
+-- Sources reach their cap in the order of size by weight; the rate that fits is the first that stops no further one.
+ordered AS (
+  SELECT *, source_size::DOUBLE / weight AS ratio,
+    coalesce(sum(source_size) OVER before, 0)::BIGINT AS stopped,
+    (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::BIGINT AS open_weight,
+    (sum(source_size) OVER ())::BIGINT AS total
+  FROM sources
+  WINDOW before AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rates AS (
+  SELECT (1.5::DOUBLE * total - 2.0::DOUBLE * stopped) / open_weight AS rate FROM ordered
+  WHERE source_size * 2.0::DOUBLE > weight * ((1.5::DOUBLE * total - 2.0::DOUBLE * stopped) / open_weight)
+  ORDER BY ratio, source NULLS LAST LIMIT 1),
+targets AS (
+  SELECT source, source_size, least(source_size * 2.0::DOUBLE, weight * rate) AS target
+  FROM sources LEFT JOIN rates ON true),
+plan AS (
+  SELECT source, source_size, coalesce(target, 0)::DOUBLE AS target,
+    CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats
+  FROM targets),
+running AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, p.repeats,
+    floor(p.target)::BIGINT - p.repeats * p.source_size AS budget,
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash) - s.size)::BIGINT AS before
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target,
+  (size * repeats + greatest(0, least(size, budget - before)))::BIGINT AS taken
+FROM running
+"""
+
+
+@query("op10_mixing", MIX_SQL)
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Every fifth document by checksum, and documents without an id, are not learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+@query("op9_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.filter(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), identify(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.bits")
+
+
+@query("op5_simhash")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex("fp").alias("fingerprint"), "component_id")
+
+
+@query("op7_multiset_hash")
+def multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return with_next(table(spark, sf_dir, "documents"))
