@@ -12,6 +12,8 @@ from .byte_pairs import BytePairs
 from .language import identify, train
 from .mixing import mix
 from .multiset import with_next
+from .neighbours import nearest
+from .secrets import scan
 from .simhash import as_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +123,18 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op8_nearest")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+@query("op2_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in every document, with the forest's verdict."""
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "at", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
+    )
