@@ -138,7 +138,8 @@ def mix(
     """What the mix takes of each document.
 
     Reads ``doc_id, text, source`` and returns ``keep`` (default ``doc_id``), ``size``,
-    ``source_size``, ``target`` and ``taken``: whole repeats of the document plus, for documents
+    ``source_size``, ``target`` and ``taken``; with ``keep`` also ``times``, which is ``taken`` in whole
+    documents, the one on the threshold going up or down to the nearest. Words taken: whole repeats of the document plus, for documents
     whose hash is below the threshold of the source, one more. The one document on the threshold
     gives the words that are still wanting, so that a source misses its target by less than a word.
     Rows that share that hash (repeated rows) share those words evenly, which may leave up to one
@@ -167,11 +168,18 @@ def mix(
         .when(F.col("hash") == F.col("threshold"), F.least("size", F.floor(F.col("rest") / F.col("tied"))))
         .otherwise(0)
     )
+    whole = F.when(
+        (F.col("hash") < F.col("threshold"))
+        | ((F.col("hash") == F.col("threshold")) & (F.col("rest") * 2 >= F.col("size") * F.col("tied"))),
+        1,
+    ).otherwise(0)
     all_ = sized if keep else small
-    return all_.join(plan.withColumnRenamed("source", "s"), _same(F.col("source"), F.col("s"))).select(
+    mixed = all_.join(plan.withColumnRenamed("source", "s"), _same(F.col("source"), F.col("s"))).select(
         *[F.col(n).alias(c) for c, n in zip(kept, names, strict=True)],
         "size",
         "source_size",
         "target",
         (F.col("size") * F.col("repeats") + more).alias("taken"),
+        (F.col("repeats") + whole).cast("int").alias("times"),
     )
+    return mixed if keep else mixed.drop("times")

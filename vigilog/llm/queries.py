@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise, new_path
+from . import quality
 from .byte_pairs import BytePairs
+from .chats import format_chats
 from .language import identify, train
 from .mixing import mix
 from .multiset import with_next
 from .neighbours import nearest
+from .rollups import Rollups, changes_of, token_count
 from .secrets import scan
 from .simhash import as_hex, near_duplicates
 
@@ -138,3 +142,96 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "at", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret"
     )
+
+
+@query("op4_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior and score of every document."""
+    return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Rank files by tokenizer version.
+VERSIONS = {"v1": "byte_bpe_50k.tiktoken", "v2": "byte_bpe_multi_50k.tiktoken"}
+LOADS = 4
+
+
+@query("op3_token_rollups")
+def token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after a history of batches over all documents.
+
+    Documents arrive in four loads counted by ``v1`` and are then counted by ``v2``; those labelled
+    toxic are taken down; the rest is revised where it repeats a line. Two batches are sent twice.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    cleaned = docs.withColumn("cleaned", F.when(lines != F.col("text"), lines))
+    columns = {}
+    for version, name in VERSIONS.items():
+        count = token_count(spark, public_tokenizers.path(name), public_tokenizers.PATTERN)
+        columns[version] = count("text")
+        columns[f"{version}_cleaned"] = F.when(F.col("cleaned").isNotNull(), count("cleaned"))
+    counted = materialise(cleaned.withColumns(columns).drop("text", "cleaned"), "token-counts")
+    gone = counted.join(toxic, "doc_id", "left_semi")
+    stays = counted.join(toxic, "doc_id", "left_anti").filter("v1_cleaned IS NOT NULL")
+    load = F.pmod(F.xxhash64("doc_id"), F.lit(LOADS))
+    batches = [(f"load-{i}", changes_of(counted.filter(load == i), "insert", "v1", "v1")) for i in range(LOADS)]
+    batches.append(("recount", changes_of(counted, "insert", "v2", "v2")))
+    batches.append(("takedown", changes_of(gone, "delete", "v1", None, "v1").unionByName(changes_of(gone, "delete", "v2", None, "v2"))))
+    revised = [changes_of(stays, "revise", v, f"{v}_cleaned", v) for v in VERSIONS]
+    batches.append(("clean", revised[0].unionByName(revised[1])))
+    rollups = Rollups(spark, new_path(spark, "rollups"))
+    for name, changes in [*batches, batches[1], batches[5]]:
+        rollups.commit(name, changes)
+    return rollups.totals()
+
+
+#: Tools that conversations are taken to call. The limits leave some calls invalid.
+SCHEMAS = {
+    "search": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+        "properties": {
+            "query": {"type": "string", "minLength": 1, "maxLength": 1000},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 200},
+        },
+    },
+    "summarise": {
+        "type": "object",
+        "required": ["source", "words"],
+        "additionalProperties": False,
+        "properties": {"source": {"type": "string"}, "words": {"type": "integer", "minimum": 3}},
+    },
+}
+
+
+@query("op6_chats")
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each answer taken as a search for the turn before it and a summary of what it found.
+
+    The search asks for the text of the turn before; its result is that of the answer's first half, the
+    summary's (which names the search) that of the second.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.filter("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("asked"))
+    # Of repeated turns the least text, so that a conversation calls the same however its rows come.
+    asked = asked.groupBy("conv_id", "turn").agg(F.min("asked").alias("asked"))
+    answers = turns.filter("role = 'assistant'").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    pairs = answers.join(asked, ["conv_id", "turn"])
+    words = F.size(F.split("asked", " "))
+    search = F.concat(F.lit("z"), F.col("turn"))
+    arguments = [
+        F.to_json(F.struct(F.col("asked").alias("query"), words.alias("limit"))),
+        F.to_json(F.struct(F.struct(search.alias("$result")).alias("source"), F.size(F.split("text", " ")).alias("words"))),
+    ]
+    each = [
+        pairs.select("conv_id", "turn", call_id.alias("call_id"), F.lit(name).alias("name"), a.alias("arguments"), content.alias("content"))
+        for name, call_id, a, content in (
+            ("search", search, arguments[0], F.expr("left(text, length(text) div 2)")),
+            ("summarise", F.concat(F.lit("a"), F.col("turn")), arguments[1], F.expr("substr(text, length(text) div 2 + 1)")),
+        )
+    ]
+    calls = each[0].unionByName(each[1])
+    results = calls.filter("content <> ''").select("conv_id", "call_id", "content")
+    return format_chats(turns, calls, results, SCHEMAS)

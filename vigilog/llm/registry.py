@@ -1,5 +1,8 @@
 """All queries of this subpackage with their oracles: one per operator, and the pipeline."""
 
-from .queries import ORACLES, QUERIES
+import corpus_pipeline
 
-__all__ = ["ORACLES", "QUERIES"]
+from . import queries
+
+QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLES = queries.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

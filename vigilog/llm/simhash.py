@@ -238,11 +238,12 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``doc_id, text``.
+    """``doc_id, fp, component_id, component`` of each row of ``doc_id, text``.
 
     ``component_id`` is the smallest ``doc_id`` reachable over fingerprints that differ in at most
     ``radius`` bits, the row itself included. Rows without ``doc_id`` are linked too; where a
-    component has no id at all, ``component_id`` is null. Repeated rows stay repeated; null and
+    component has no id at all, ``component_id`` is null. ``component`` is the component's least
+    fingerprint as a signed number. Repeated rows stay repeated; null and
     wordless texts have the fingerprint 0. Other columns are not looked at.
     """
     prints = materialise(docs.select("doc_id", fingerprint("text").alias("fp")), "prints")
@@ -253,5 +254,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "fp", "first_id", F.coalesce("component", "fp").alias("component")
     )
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id")).withColumnRenamed("component", "c")
-    by_print = named.join(smallest, F.col("component") == F.col("c")).select(F.col("fp").alias("f"), "component_id")
-    return prints.join(by_print, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    by_print = named.join(smallest, F.col("component") == F.col("c")).select(
+        F.col("fp").alias("f"), "component_id", "component"
+    )
+    return prints.join(by_print, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id", "component")
