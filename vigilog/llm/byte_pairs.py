@@ -13,6 +13,7 @@ A match that is a token itself is taken as that token at once, as the public enc
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,14 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 SHORT = 64
 #: Matches kept with their ids in a worker before older ones are set aside (so up to twice as many),
 #: and characters split at a time.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 SLICE_CHARS = 1 << 21
+#: A pattern under which a single space begins a match; texts are cut there first. Fixed value.
+SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Marks that end a word, and the first character whose kind is left to the pattern.
+MARKS = frozenset(".,;:!?")
+UNUSUAL = "\u0370"
+SPACES = re.compile(r" \s|\s ").search
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -42,6 +49,7 @@ class Ranks:
         self.token = [b""] * (max(self.rank.values()) + 1)
         for token, rank in self.rank.items():
             self.token[rank] = token
+        self.tokens = pa.array(self.token, pa.large_binary())
         self.split = regex.compile(pattern).findall
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.base = len(self.token)
@@ -54,6 +62,9 @@ class Ranks:
         self._hash_pairs()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.by_space = pattern == SPACE_PATTERN
 
     def _hash_pairs(self) -> None:
         """Pairs in a table with linear probing, so that a whole array of pairs is looked up at once."""
@@ -216,26 +227,71 @@ class Ranks:
         return next(self.encode_all([text or ""]))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Token ids of each text, as 32-bit numbers; words are held for about a million characters."""
-        waiting: list[list[str]] = []
+        """Token ids of each text, as 32-bit numbers; words are held for about two million characters."""
+        waiting: list[tuple[list[str], list[str]]] = []
         chars = 0
         for text in texts:
-            waiting.append(self.split(text) if text else [])
+            waiting.append(self._words(text or ""))
             chars += len(text or "")
             if chars > SLICE_CHARS:
                 yield from self._assemble(waiting)
                 waiting, chars = [], 0
         yield from self._assemble(waiting)
 
-    def _assemble(self, waiting: list[list[str]]) -> Iterator[bytes]:
+    def _words(self, text: str) -> tuple[list[str], list[str]]:
+        """Leading matches, and words that each stand for a space and the word.
+
+        A single space between other characters always begins a match, so a text without two white
+        spaces in a row may be cut there and its words be kept with their ids. Other texts are split
+        as a whole.
+        """
+        if not self.by_space or not text or text[0] == " " or text[-1] == " " or SPACES(text):
+            return self.split(text), []
+        words = text.split(" ")
+        return self.split(words[0]), words[1:]
+
+    def _pieces(self, word: str) -> list[str]:
+        """Matches in a space and a word without spaces; letters, and letters with a mark at the end, at once."""
+        if word[-1:] in MARKS and word[:-1].isalpha() and max(word) < UNUSUAL:
+            return [" " + word[:-1], word[-1]]
+        if word.isalpha() and max(word) < UNUSUAL:
+            return [" " + word]
+        return self.split(" " + word)
+
+    def _assemble(self, waiting: list[tuple[list[str], list[str]]]) -> Iterator[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
-        self.learn(set().union(*waiting) - self.cache.keys())
-        for words in waiting:
-            yield b"".join(map(self.cache.__getitem__, words))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        if len(self.words) > CACHE_ENTRIES:
+            self.older_words, self.words = self.words, {}
+        known, older = self.words, self.older_words
+        new = [w for w in set().union(*(words for _, words in waiting)) if w not in known]
+        pieces = {}
+        for word in new:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
+            else:
+                pieces[word] = self._pieces(word)
+        cache = self.cache
+        self.learn({p for p in set().union(*pieces.values(), *(first for first, _ in waiting)) if p not in cache})
+        ids = cache.__getitem__
+        for word, parts in pieces.items():
+            known[word] = ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts))
+        word_ids = self.words.__getitem__
+        for first, words in waiting:
+            yield b"".join(map(ids, first)) + b"".join(map(word_ids, words))
+
+    def decode(self, arrays: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each array of ids. The bytes of a batch are one gather of its tokens."""
+        if arrays.null_count:
+            arrays = pa.array([x or [] for x in arrays.to_pylist()], arrays.type)
+        offsets = arrays.offsets.to_numpy().astype(np.int64)
+        gathered = self.tokens.take(arrays.values.slice(offsets[0], offsets[-1] - offsets[0]))
+        if gathered.null_count:
+            raise ValueError("a token id is null")
+        ends = np.frombuffer(gathered.buffers()[1], np.int64)[gathered.offset : gathered.offset + len(gathered) + 1]
+        bounds = pa.array(ends[offsets - offsets[0]] if len(ends) else np.zeros(len(offsets), np.int64))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(arrays), [None, bounds.buffers()[1], gathered.buffers()[2]])
 
 
 _tables: dict[tuple[bytes, str], Ranks] = {}
@@ -282,7 +338,6 @@ class BytePairs:
 
         @F.arrow_udf(BinaryType())
         def decode(arrays: pa.Array) -> pa.Array:
-            table = _table(vocabulary, pattern)
-            return pa.array([table.decode(x.as_py() or []) for x in arrays], pa.binary())
+            return _table(vocabulary, pattern).decode(arrays).cast(pa.binary())
 
         return decode(ids)
