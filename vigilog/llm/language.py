@@ -35,7 +35,7 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> DataF
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "l")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 30)) / F.lit(1 << 30)
     return (
-        known.join(sizes, F.col("lang") == F.col("l"))
+        known.join(F.broadcast(sizes), F.col("lang") == F.col("l"))  # a row per language, each of which gets a model
         .filter(draw * F.col("rows") < per_language)
         .select("lang", "text")
     )
