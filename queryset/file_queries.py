@@ -74,13 +74,18 @@ def parse_scanned(spark, sf_dir):
     return parsed.groupBy("raw", "source", "event_type", "ip", "user").agg(F.count("*").alias("lines"))
 
 
+_FILES = 4
+
+
 def _detected(kind: str) -> str:
     joined = (
-        f"(SELECT string_agg(raw, ' ' ORDER BY line_key) AS t FROM"
-        f" (SELECT line_key, trim(raw) AS raw FROM {kind}_raw ORDER BY line_key LIMIT 10))"
+        f"(SELECT part, string_agg(raw, ' ' ORDER BY line_key) AS t FROM (SELECT *,"
+        f" row_number() OVER (PARTITION BY part ORDER BY line_key) AS n FROM (SELECT line_key, trim(raw) AS raw,"
+        f" CAST(line_key * {_FILES} // (SELECT max(line_key) + 1 FROM {kind}_raw) AS INTEGER) AS part"
+        f" FROM {kind}_raw)) WHERE n <= 10 GROUP BY part)"
     )
     return (
-        f"SELECT '{kind}' AS written, CASE WHEN {any_word('lower(t)', fv.DETECT_SSH_WORDS)} THEN 'ssh'"
+        f"SELECT '{kind}' AS written, part, CASE WHEN {any_word('lower(t)', fv.DETECT_SSH_WORDS)} THEN 'ssh'"
         f" WHEN {hit('t', fv.DETECT_HDFS)} THEN 'hdfs' WHEN {hit('t', fv.DETECT_APACHE)} THEN 'apache'"
         f" ELSE 'linux' END AS log_type FROM {joined}"
     )
@@ -94,11 +99,22 @@ _KINDS = ("ssh", "hdfs", "apache", "linux")
     sql(" UNION ALL ".join(_detected(k) for k in _KINDS), *[f"{k}_raw" for k in _KINDS]),
 )
 def detect_log_type(spark, sf_dir):
-    """The first file of each derived log."""
-    paths = [_write_text(spark, sf_dir, kind) for kind in _KINDS]
-    found = text_lines.detect_log_type(text_lines.scan_all_lines(spark, paths))
-    written = F.regexp_extract("file", r"vigilog-(\w+)-text", 1)
-    return found.filter(F.col("file").contains("part-00000")).select(written.alias("written"), "log_type")
+    """Every file of the derived logs, each log being written as four."""
+    paths = []
+    for kind in _KINDS:
+        lines = raw_lines(spark, sf_dir, kind).select("line_key", "raw")
+        top = lines.agg(F.max("line_key") + 1).scalar()
+        part = F.floor(F.col("line_key") * _FILES / top).cast("int")
+        paths.append(new_path(spark, f"{kind}-text"))
+        lines.withColumn("part", part).repartition("part").sortWithinPartitions("part", "line_key").select(
+            "part", "raw"
+        ).write.partitionBy("part").text(paths[-1])
+    found = text_lines.detect_log_type(text_lines.scan_all_lines(spark, [f"{p}/*" for p in paths]))
+    return found.select(
+        F.regexp_extract("file", r"vigilog-(\w+)-text", 1).alias("written"),
+        F.regexp_extract("file", r"part=(\d+)/", 1).cast("int").alias("part"),
+        "log_type",
+    )
 
 
 @query(
@@ -129,14 +145,14 @@ def _write_labels(spark, sf_dir: str) -> str:
     "source_discovery",
     sql(
         """SELECT dataset, count(*) AS lines, CAST(sum(label) AS BIGINT) AS attacks FROM (
-          SELECT dataset, label FROM all_logs WHERE dataset <> 'linux') GROUP BY dataset""",
+          SELECT dataset, label FROM all_logs) GROUP BY dataset""",
         "all_logs",
     ),
 )
 def source_discovery(spark, sf_dir):
-    """A folder with three of the four sources and the label table."""
+    """A folder with the four sources and the label table."""
     folder = new_path(spark, "sources")
-    for kind, name in (("ssh", "SSH.log"), ("hdfs", "HDFS.log"), ("apache", "Apache_2k.log")):
+    for kind, name in (("ssh", "SSH.log"), ("hdfs", "HDFS.log"), ("apache", "Apache_2k.log"), ("linux", "Linux.log")):
         raw_lines(spark, sf_dir, kind).select("raw").write.text(f"{folder}/{name}")
     logs.block_labels(spark, sf_dir).select(
         F.col("block_id").alias("BlockId"),

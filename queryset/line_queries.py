@@ -138,6 +138,16 @@ def rule_alerts(spark, sf_dir):
     return line_rules.evaluate_rules(logs.written_logs(spark, sf_dir))
 
 
+@query(
+    "first_traversal_alerts",
+    sql(f"SELECT {ALERT_LIST} FROM alerts WHERE rule_id = 'HTTP-003' ORDER BY first_key LIMIT 10", "alerts"),
+)
+def first_traversal_alerts(spark, sf_dir):
+    """The ten that a report shows."""
+    alerts = line_rules.evaluate_rules(logs.written_logs(spark, sf_dir), ["HTTP-003"])
+    return line_rules.first_alerts_of(alerts, "HTTP-003")
+
+
 @query("rule_preds", sql("SELECT line_key, ip, rule_pred FROM predicted", "predicted"))
 def rule_preds(spark, sf_dir):
     lines = logs.written_logs(spark, sf_dir)

@@ -76,7 +76,7 @@ def detect_lines(spark, sf_dir):
 
 @query("detect_lines_ablation")
 def detect_lines_ablation(spark, sf_dir):
-    return line_plan.detect_lines(logs.all_logs(spark, sf_dir), trees=50).ablation
+    return line_plan.detect_lines(logs.all_logs(spark, sf_dir)).ablation
 
 
 @query("cross_validate")

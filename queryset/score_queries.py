@@ -10,7 +10,7 @@ from vigilog.operators import evaluation, forest, fusion, line_features, line_ru
 
 from . import logs
 from .registry import query
-from .sql import QUALITY_ROUNDED, cells, fused, num, rule_selects, sql, threat
+from .sql import BURST, LINE_FLAGS, QUALITY_ROUNDED, cells, fused, num, rule_selects, sql, threat
 from .sql import severity as severity_sql
 
 HYBRID_LIST = ", ".join(fusion.HYBRID_COLUMNS)
@@ -71,26 +71,24 @@ def fuse_scores(spark, sf_dir):
     return fusion.fuse(scored)
 
 
+_SCALES = ", ".join(
+    f"round(avg({n}) FILTER (label = 0), 6) AS mean_{n}, round(CASE WHEN stddev_pop({n}) FILTER (label = 0) = 0"
+    f" THEN 1.0 ELSE stddev_pop({n}) FILTER (label = 0) END, 6) AS scale_{n}"
+    for n in line_features.COMBINED_FEATURES
+)
+
+
 @query(
     "standard_scale",
     sql(
-        "SELECT " + ", ".join(
-            f"round(avg({t}::INTEGER) FILTER (label = 0), 6) AS mean_{n},"
-            f" round(CASE WHEN stddev_pop({t}::INTEGER) FILTER (label = 0) = 0 THEN 1.0 ELSE"
-            f" stddev_pop({t}::INTEGER) FILTER (label = 0) END, 6) AS scale_{n}"
-            for n, t in (
-                ("is_failed_pw", "(event_type = 'failed_password')"),
-                ("is_root_user", "coalesce(\"user\" IN ('root', 'admin', 'administrator'), false)"),
-                ("is_unknown", "(event_type = 'unknown')"),
-                ("is_ssh_error", "(event_type = 'ssh_error')"),
-            )
-        ) + " FROM ssh_labels",
-        "ssh_labels",
+        f"SELECT {_SCALES} FROM (SELECT label, {LINE_FLAGS}, {BURST} FROM all_logs l LEFT JOIN per_ip USING (ip))",
+        "per_ip",
     ),
 )
 def standard_scale(spark, sf_dir):
-    names = ["is_failed_pw", "is_root_user", "is_unknown", "is_ssh_error"]
-    lines = line_features.line_features(logs.labelled(spark, sf_dir, "ssh"))
+    """All features of the normal lines of the four logs."""
+    names = line_features.COMBINED_FEATURES
+    lines = line_features.combined_features(logs.materialise(logs.all_logs(spark, sf_dir), "labelled"))
     scaler = forest.fit_scaler(lines.filter("label = 0"), names)
     of = {n: F.col("feature") == n for n in names}
     return scaler.agg(

@@ -281,14 +281,32 @@ _FIRST = """first_blocks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITI
 
 @query(
     "rule_diagnosis",
-    sql("", "hdfs_scored").rstrip() + f""", {_FIRST}
-    SELECT label, rule_id, blocks, round(blocks / n * 100, 1) AS share FROM (SELECT label, rule_id,
-        count(*) AS blocks FROM (SELECT label, unnest(string_split(rules_hit, ',')) AS rule_id FROM first_blocks
-          WHERE rules_hit <> '') GROUP BY label, rule_id)
-      JOIN (SELECT label, count(*) AS n FROM first_blocks GROUP BY label) USING (label)""",
+    sql(
+        """SELECT label, rule_id, blocks, round(blocks / n * 100, 1) AS share FROM (SELECT label, rule_id,
+          count(*) AS blocks FROM (SELECT label, unnest(string_split(rules_hit, ',')) AS rule_id FROM hdfs_scored
+            WHERE rules_hit <> '') GROUP BY label, rule_id)
+        JOIN (SELECT label, count(*) AS n FROM hdfs_scored GROUP BY label) USING (label)""",
+        "hdfs_scored",
+    ),
 )
 def rule_diagnosis(spark, sf_dir):
-    return reports.rule_diagnosis(reports.first_sessions(logs.hdfs_scored(spark, sf_dir)))
+    """All blocks; scored once, read twice."""
+    return reports.rule_diagnosis(logs.materialise(logs.hdfs_scored(spark, sf_dir), "scored"))
+
+
+@query(
+    "first_blocks",
+    sql("", "hdfs_scored").rstrip() + f", {_FIRST} SELECT label, block_id, rule_score FROM first_blocks",
+)
+def first_blocks(spark, sf_dir):
+    """The first 500 blocks of each class."""
+    scored = logs.materialise(logs.hdfs_scored(spark, sf_dir), "scored")
+    return reports.first_sessions(scored).select("label", "block_id", "rule_score")
+
+
+@query("distinct_blocks", sql("SELECT count(DISTINCT block_id) AS blocks FROM hdfs_lines", "hdfs_lines"))
+def distinct_blocks(spark, sf_dir):
+    return reports.distinct_blocks(logs.hdfs_lines(spark, sf_dir))
 
 
 @query(
@@ -322,7 +340,8 @@ def evidence_profile(spark, sf_dir):
     ),
 )
 def sample_flagged(spark, sf_dir):
-    return reports.sample_flagged(logs.hdfs_scored(spark, sf_dir), logs.hdfs_lines(spark, sf_dir))
+    scored = logs.materialise(logs.hdfs_scored(spark, sf_dir), "scored")
+    return reports.sample_flagged(scored, logs.hdfs_lines(spark, sf_dir))
 
 
 # --- sequences --------------------------------------------------------------------------
@@ -340,6 +359,15 @@ def log_vocab(spark, sf_dir):
     return ngram.log_vocabulary(logs.cluster_lines(spark, sf_dir, "bgl"))
 
 
+@query(
+    "log_vocab_100",
+    sql("SELECT content, n, CAST(key AS INTEGER) AS key FROM vocab WHERE key <= 100", "vocab"),
+)
+def log_vocab_100(spark, sf_dir):
+    """The small vocabulary: the hundred most frequent texts."""
+    return ngram.log_vocabulary(logs.cluster_lines(spark, sf_dir, "bgl"), words=100)
+
+
 @query(
     "log_keys",
     sql(
@@ -362,13 +390,15 @@ def ngrams(spark, sf_dir):
 
 @query(
     "ngram_transitions",
-    sql("SELECT ctx, CAST(nxt AS INTEGER) AS nxt, n, first.node AS first_node, first.place AS first_place FROM transitions",
+    sql("SELECT ctx, CAST(nxt AS INTEGER) AS nxt, n, first.node AS first_node,"
+        " first.win_no AS first_window, CAST(first.start AS INTEGER) AS first_start FROM transitions",
         "transitions"),
 )
 def ngram_transitions(spark, sf_dir):
     normal = _sequences(spark, sf_dir).filter("label = 0")
     return ngram.transitions(ngram.ngrams(normal)).select(
-        "ctx", "nxt", "n", F.col("first.node").alias("first_node"), F.col("first.__place").alias("first_place")
+        "ctx", "nxt", "n", F.col("first.node").alias("first_node"),
+        F.col("first.__place.win_no").alias("first_window"), F.col("first.__place.start").alias("first_start"),
     )
 
 

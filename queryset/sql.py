@@ -367,15 +367,14 @@ def rule_selects(table: str, fixed: bool = False) -> dict[str, str]:
             f" WHERE {where} GROUP BY ip HAVING {count} >= {need}"
         )
 
-    def line(rule: str, where: str, description: str, score: float, ip: str = "ip", cap: bool = False) -> str:
+    def line(rule: str, where: str, description: str, score: float, ip: str = "ip") -> str:
         r = meta[rule]
-        select = (
+        return (
             f"SELECT CAST({order[rule]} AS INTEGER) AS rule_ord, line_key AS first_key,"
             f" '{rule}' AS rule_id, '{r.name}' AS rule_name, {description} AS description,"
             f" '{r.severity}' AS severity, {ip} AS source_ip, CAST(1 AS BIGINT) AS count,"
             f" {num(score)} AS rule_score, raw AS sample_raw FROM {table} WHERE {where}"
         )
-        return f"SELECT * FROM ({select} ORDER BY line_key LIMIT 10)" if cap else select
 
     sqli = any_word("path", fv.FEATURE_SQLI_WORDS) if fixed else "event_type = 'sql_injection_attempt'"
     xss = any_word("path", fv.FEATURE_XSS_WORDS) if fixed else "event_type = 'xss_attempt'"
@@ -419,7 +418,7 @@ def rule_selects(table: str, fixed: bool = False) -> dict[str, str]:
             f"'IP ' || {who} || ' injected XSS payload. Sample: ' || {path60}", num(0.82)),
         "HTTP-003": line(
             "HTTP-003", f"{apache} AND {any_word('path', fv.RULE_TRAVERSAL_WORDS)}",
-            f"'IP ' || {who} || ' attempted path traversal: ' || substring(path, 1, 60)", 0.88, cap=True),
+            f"'IP ' || {who} || ' attempted path traversal: ' || substring(path, 1, 60)", 0.88),
         "HTTP-004": alert(
             "HTTP-004", f"{apache} AND {any_word('lower(user_agent)', scanners)}", 1,
             f"'IP ' || {who} || ' using ' || {scanner} || ' (' || count(*) || ' requests)'", num(0.9)),
@@ -429,7 +428,7 @@ def rule_selects(table: str, fixed: bool = False) -> dict[str, str]:
             f"least({one}, count(*) / CAST(200 AS DOUBLE))", "''"),
         "HTTP-006": line(
             "HTTP-006", f"{apache} AND {any_word('path', fv.RULE_SENSITIVE_WORDS)}",
-            f"'IP ' || {who} || ' accessed sensitive path: ' || substring(path, 1, 60)", 0.87, cap=True),
+            f"'IP ' || {who} || ' accessed sensitive path: ' || substring(path, 1, 60)", 0.87),
         "HTTP-007": alert(
             "HTTP-007", f"{apache} AND status_code BETWEEN 400 AND 499", 20,
             f"'IP ' || {who} || ' triggered ' || count(*) || ' client errors (scanning?)'",
@@ -631,7 +630,7 @@ cte(
 )
 cte(
     "transitions",
-    """SELECT ctx, nxt, count(*) AS n, min({'node': node, 'place': win_no * 1000000 + start}) AS first
+    """SELECT ctx, nxt, count(*) AS n, min({'node': node, 'win_no': win_no, 'start': start}) AS first
     FROM grams WHERE label = 0 GROUP BY ctx, nxt""",
     "grams",
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilog.functions import fixed_values as fv
 from vigilog.operators import forest
 from vigilog.operators.line_features import COMBINED_FEATURES, combined_features
 from vigilog.sources.shared import new_path
@@ -24,7 +25,7 @@ def stream_verdict(spark, sf_dir):
         "raw"
     ).write.text(folder)
     train = combined_features(logs.labelled(spark, sf_dir, "ssh"))
-    model = forest.fit(train, COMBINED_FEATURES, ["line_key"], trees=50)
+    model = forest.fit(train, COMBINED_FEATURES, ["line_key"], trees=fv.LINE_TREES)
     stream = read_log_stream(spark, folder)
     run = start_verdicts(stream, "ssh", model, out, new_path(spark, "state"), once=True)
     run.awaitTermination()
@@ -74,10 +75,17 @@ def burst_windows_sliding(spark, sf_dir):
     ),
 )
 def stream_bursts(spark, sf_dir):
-    """The same windows over a stream of the parsed lines, all windows kept until the end."""
+    """The same windows over a stream of the parsed lines, each given out once, when it closes.
+
+    The lines arrive as files in no order within 60 days, which the watermark allows for. A last line
+    far in the future, which matches no address, moves the watermark past the last window.
+    """
     source = logs.stored(spark, sf_dir, "ssh")
     folder = new_path(spark, "parsed-stream")
     source.write.parquet(folder)
+    closing = source.limit(1).withColumns({"timestamp": F.lit("Dec 31 23:59:59"), "event_type": F.lit("failed_password"),
+                                           "source": F.lit("ssh"), "ip": F.lit(None).cast("string")})
+    closing.select(*source.columns).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(source.schema).parquet(folder)
     bursts = brute_force_windows(with_event_time(stream, 2024), "6 hours", late="60 days", min_failures=2)
     out = new_path(spark, "bursts")
@@ -86,16 +94,14 @@ def stream_bursts(spark, sf_dir):
         batch.write.mode("overwrite").parquet(f"{out}/micro_batch={number}")
 
     run = (
-        bursts.writeStream.outputMode("complete")
+        bursts.writeStream.outputMode("append")
         .foreachBatch(write)
         .option("checkpointLocation", new_path(spark, "state"))
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    batches = spark.read.parquet(out)
-    last = batches.agg(F.max("micro_batch").alias("last"))
-    return _shown(batches.join(F.broadcast(last), F.col("micro_batch") == F.col("last")))
+    return _shown(spark.read.parquet(out))
 
 
 def _shown(bursts):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import collections
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -35,6 +36,7 @@ def session(cores: str = "8", partitions: str = "8") -> SparkSession:
         # Generated methods above this size are never compiled by the JVM; below it they are.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="vigilog-check-"))
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()

@@ -25,16 +25,19 @@ def test_scaler_uses_population_deviation_and_keeps_constants(spark):
     assert np.allclose(stats["a"], (a.mean(), a.std())) and stats["c"] == (1.0, 1.0)
 
 
-def test_samples_of_small_and_large_tables(spark):
-    small = spark.range(3000).withColumn("fold", F.lit(0))
-    counts = forest.sample_trees(small, ["id"], 20).groupBy("tree").count().collect()
-    assert [r["count"] for r in counts] == [256] * 20
-    # 40 000 rows for 20 trees: one number per row decides, so trees do not share rows.
-    large = spark.range(40000).withColumn("fold", F.lit(0))
-    picked = forest.sample_trees(large, ["id"], 20)
-    assert [r["count"] for r in picked.groupBy("tree").count().collect()] == [256] * 20
-    assert picked.select("id").distinct().count() == 256 * 20
-    assert picked.exceptAll(forest.sample_trees(large.repartition(5), ["id"], 20)).count() == 0
+def test_one_sampling_law_at_every_size(spark):
+    for rows in (300, 3000, 40_000):
+        df = spark.range(rows).withColumn("fold", F.lit(0))
+        picked = forest.sample_trees(df, ["id"], 20)
+        assert [r["count"] for r in picked.groupBy("tree").count().collect()] == [256] * 20
+        assert picked.exceptAll(forest.sample_trees(df.repartition(5), ["id"], 20)).count() == 0
+        # Trees draw independently: two of them share about 256 * 256 / rows rows.
+        ids = {}
+        for r in picked.collect():
+            ids.setdefault(r["tree"], set()).add(r["id"])
+        shared = [len(ids[a] & ids[b]) for a in ids for b in ids if a < b]
+        mean = 256 * 256 / rows
+        assert abs(sum(shared) / len(shared) - mean) < 0.05 * mean + 0.5
     tiny = spark.range(9).withColumn("fold", F.lit(0))
     assert forest.sample_trees(tiny, ["id"], 4).count() == 36
 
@@ -90,7 +93,7 @@ def test_model_roundtrip(spark, tmp_path):
 def test_importance_finds_the_features_that_vary(spark):
     df = table(spark)
     found = {r["feature"]: r["importance"] for r in importance.permutation_importance(
-        df, forest.fit(df, FEATURES, ["k"], trees=20), ["k"], samples=200).collect()}
+        df, forest.fit(df, FEATURES, ["k"], trees=20), ["k"]).collect()}
     assert set(found) == set(FEATURES) and found["c"] < 1e-9 < found["a"]
     assert math.isclose(sum(found.values()), 1.0, abs_tol=1e-4) or sum(found.values()) < 1e-6
 

@@ -35,13 +35,15 @@ def test_batches_are_judged_alone(raw):
     assert line_rules.evaluate_rules(lines, by=["batch"]).count() == 0
 
 
-def test_capped_rules_report_the_first_lines(raw):
+def test_line_rules_report_every_line(raw):
     line = '1.2.3.4 - - [04/Dec/2005:04:47:44 +0000] "GET /../etc/passwd HTTP/1.1" 200 1'
     found = line_rules.evaluate_rules(parsing.parse_apache(raw([line] * 30)), ["HTTP-003", "HTTP-006"])
     keys = {}
     for r in found.collect():
         keys.setdefault(r["rule_id"], []).append(r["first_key"])
-    assert {k: sorted(v) for k, v in keys.items()} == {"HTTP-003": list(range(10)), "HTTP-006": list(range(10))}
+    assert {k: sorted(v) for k, v in keys.items()} == {"HTTP-003": list(range(30)), "HTTP-006": list(range(30))}
+    first = line_rules.first_alerts_of(found, "HTTP-003").collect()
+    assert [r["first_key"] for r in first] == list(range(10))
 
 
 def test_flood_of_lines_without_address(raw):

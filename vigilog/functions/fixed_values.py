@@ -370,7 +370,6 @@ THUNDERBIRD_RULES: tuple[SessionRule, ...] = (
 # --- fixed values: windows, weights, thresholds, grids ----------------------------------
 WINDOW_SIZE = 20
 WINDOW_STEP = 10
-THUNDERBIRD_MAX_LINES = 5_000_000
 
 SEVERITY_BANDS = (("CRITICAL", 0.80), ("HIGH", 0.60), ("MEDIUM", 0.40), ("LOW", 0.20))
 LINE_ALPHA = 0.55
@@ -401,7 +400,6 @@ TUNE_THRESHOLDS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50)
 NGRAM_HISTORY = 10
 NGRAM_TOP_K = 9
 NGRAM_VOCABULARY = 500
-NGRAM_TRAIN_WINDOWS = 50_000
 
 # --- fixed values: input file names, first existing one wins -----------------------------
 SOURCE_FILES = {

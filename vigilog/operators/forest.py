@@ -9,6 +9,7 @@ A training table has a unique ``key`` (one or more columns) and numeric features
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -91,30 +92,29 @@ def sample_trees(
 ) -> DataFrame:
     """A uniform sample of at most ``psi`` rows per tree, without replacement inside a tree.
 
-    Rows are hashed to [0, 1). On a large table one number decides whether a row is taken and
-    by which tree (a share far below one is kept by a plain filter, and what is shuffled does
-    not grow with the table). On a small table a row is tested for each tree. A few rows more
-    than needed are kept and the smallest hashes win, so every tree gets exactly ``psi`` rows.
+    One law at every size: a row is drawn for each tree independently, with the share that gives a
+    few rows more than needed, and the smallest hashes win, so every tree gets exactly ``psi`` rows.
+    The trees of a row come from one uniform number: it tells, by the distribution of the first
+    hit, the first tree that draws the row; the next number the next tree. So a row costs as many
+    hashes as it has hits, and what is shuffled does not grow with the table.
     """
     sizes = {r["fold"]: r["n"] for r in df.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no training rows")
     spare = psi + 8 * psi**0.5 + 16
     parts = []
     for fold, n in sizes.items():
         rows = df.filter(F.col("fold") == fold)
         share = min(1.0, spare / n)
-        if share * trees <= 1.0:
-            u = _unit_hash(key, F.lit(seed))
-            taken = rows.withColumn("__u", u).filter(F.col("__u") < share * trees)
-            picked = taken.withColumn("tree", F.floor(F.col("__u") / share).cast("int"))
-            picked = picked.filter(F.col("tree") < trees)
+        if share == 1.0:
+            hits = F.sequence(F.lit(0), F.lit(trees - 1))
         else:
-            each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            picked = each.withColumn("__u", _unit_hash(key, F.lit(seed), F.col("tree"))).filter(
-                F.col("__u") < share
-            )
-        parts.append(picked)
-    if not parts:
-        raise ValueError("no training rows")
+            first = _next_tree(F.lit(-1), share, key, seed)
+            # Rows that no tree draws go before anything is unfolded.
+            rows = rows.withColumn("__first", first).filter(F.col("__first") < trees)
+            hits = _drawn(share, trees, key, seed)
+        each = rows.withColumn("tree", F.explode(hits)).withColumn("tree", F.col("tree").cast("int"))
+        parts.append(each.withColumn("__u", _unit_hash(key, F.lit(seed), F.col("tree"))).select(*df.columns, "tree", "__u"))
     order = Window.partitionBy("fold", "tree").orderBy("__u", *key)
     picked = reduce(DataFrame.unionByName, parts)
     return (
@@ -124,6 +124,26 @@ def sample_trees(
     )
 
 
+def _next_tree(after: Column, share: float, key: Sequence[str], seed: int) -> Column:
+    """The next tree that draws the row: a geometric jump, one hash for each."""
+    u = _unit_hash(key, F.lit(seed), F.lit("jump"), after)
+    jump = F.floor(F.log1p(-u) / F.lit(math.log1p(-share)))
+    return (after + 1 + F.least(jump, F.lit(1 << 40))).cast("bigint")
+
+
+def _drawn(share: float, trees: int, key: Sequence[str], seed: int) -> Column:
+    """All trees that draw the row, from ``__first`` on."""
+
+    def step(found: Column, _: Column) -> Column:
+        last = F.element_at(found, -1)
+        return F.when(
+            last >= trees, found
+        ).otherwise(F.concat(found, F.array(_next_tree(last, share, key, seed))))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(trees)), F.array("__first"), step)
+    return F.filter(found, lambda tree: tree < trees)
+
+
 def _unit_hash(key: Sequence[str], *more: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*more, *key), 11) / F.lit(2.0**53)
 

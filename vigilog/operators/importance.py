@@ -4,44 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..sources.shared import materialise
 from .forest import Model, scale, score_column
+from .ordinals import dense_ordinal
+
+
+# Leading hash bits that spread the ranking of a shuffled column over tasks.
+HASH_BUCKET_BITS = 10
 
 
 def permutation_importance(
     df: DataFrame,
     model: Model,
     key: Sequence[str],
-    samples: int = 500,
     seed: int = fv.SEED,
 ) -> DataFrame:
     """Change of the mean score when one feature is shuffled: ``feature``, ``importance``.
 
-    Works on a sample of rows taken in hashed order (the sample size is part of the method).
-    A feature is shuffled by matching the rows' order under one hash with their order under
-    another; the original and all shuffled copies are then scored in one pass.
+    All rows count. A feature is shuffled by matching the rows' order under one hash with their
+    order under another; orders are dense positions ranked inside hash ranges, so no task sees a
+    whole column. The original and all shuffled copies are then scored in one pass.
     """
     features = list(model.features)
-    sample = (
-        df.select(*dict.fromkeys([*key, *features]))
-        .orderBy(F.xxhash64(F.lit(seed), *key), *key)
-        .limit(samples)
-    )
-    # From here on tables have at most samples * (features + 1) rows.
-    rows = scale(
-        sample.withColumn("row", F.row_number().over(Window.orderBy(*key))), model.scaler, features
-    ).select("row", *features)
-    shuffled_order = Window.partitionBy("j").orderBy(F.xxhash64(F.lit(seed), "j", "row"), "row")
+    scaled = scale(df.select(*dict.fromkeys([*key, *features])), model.scaler, features)
+    numbered = _by_hash(scaled.withColumn("j", F.lit(-1)), F.xxhash64(F.lit(seed), *key), [*key], "row")
+    rows = materialise(numbered.select("row", *features), "importance")
     values = rows.select(
         "row",
         F.posexplode(F.array(*features)).alias("j", "value"),
     )
-    shuffled = values.select(
-        "j", F.row_number().over(shuffled_order).alias("row"), F.col("value").alias("other")
-    )
+    shuffled = _by_hash(
+        values.withColumnRenamed("row", "from"), F.xxhash64(F.lit(seed), "j", "from"), ["from"], "row"
+    ).select("j", "row", F.col("value").alias("other"))
     copies = rows.join(shuffled, "row").select(
         "j",
         *[
@@ -55,17 +53,22 @@ def permutation_importance(
         .groupBy("j")
         .agg(F.avg("s").alias("s"))
     )
-    base = means.filter("j = -1").select(F.col("s").alias("base"))
-    change = means.filter("j >= 0").crossJoin(F.broadcast(base)).select(
-        "j", F.abs(F.col("base") - F.col("s")).alias("change")
-    )
-    total = change.agg((F.sum("change") + F.lit(1e-9)).alias("total"))
+    means = materialise(means, "importance-means")  # a row per feature
+    base = means.filter("j = -1").select("s").scalar()
+    change = means.filter("j >= 0").select("j", F.abs(base - F.col("s")).alias("change"))
+    total = change.agg(F.sum("change") + F.lit(1e-9)).scalar()
     names = F.array(*[F.lit(name) for name in features])
-    return change.crossJoin(F.broadcast(total)).select(
-        F.get(names, F.col("j")).alias("feature"),
-        (F.col("change") / F.col("total")).alias("importance"),
+    return change.select(
+        F.get(names, F.col("j")).alias("feature"), (F.col("change") / total).alias("importance")
     )
 
 
+def _by_hash(df: DataFrame, hashed: Column, ties: list[str], out: str) -> DataFrame:
+    """A dense position inside each ``j`` by a hash."""
+    bucket = F.shiftright("__hash", 64 - HASH_BUCKET_BITS)
+    placed = dense_ordinal(df.withColumn("__hash", hashed), ["j"], bucket, ["__hash", *ties], out=out)
+    return placed.drop("__hash")
+
+
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(n)

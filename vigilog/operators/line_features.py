@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.scoring import is_external
 from ..functions.text import contains_any, flag
-from .lookup import lookup
+from .lookup import count_keys, lookup
 
 LINE_FEATURES = (
     "is_ssh", "is_hdfs", "is_apache", "is_linux",
@@ -60,24 +60,31 @@ def line_features(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({name: flag(test) for name, test in tests.items()})
 
 
-def ip_burst(parsed: DataFrame) -> DataFrame:
+def ip_burst(parsed: DataFrame, by: str | None = None) -> DataFrame:
     """Add how many lines, and failed tries, the address of a line has in the whole table.
 
+    ``by`` names a string column that cuts the table into batches; each then counts for itself.
     The table is reduced to one row per address and joined back by ``lookup``, so an address
     with a large share of the lines, and the lines without one, are no burden.
     """
     failed = F.col("event_type").isin("failed_password", "invalid_user")
     known = F.col("ip").isNotNull() & (F.col("ip") != "")
+    key = "ip" if by is None else "__by_ip"
+    keyed = parsed if by is None else parsed.withColumn(key, F.when(known, F.concat(by, F.lit("\x00"), "ip")))
     per_ip = (
-        parsed.filter(known)
-        .groupBy("ip")
+        keyed.filter(known)
+        .groupBy(key)
         .agg(
             F.count("*").alias("ip_total_count"),
             F.sum(flag(failed)).cast("bigint").alias("ip_fail_count"),
         )
     )
-    total = parsed.agg(F.greatest(F.count("*"), F.lit(1)).alias("__lines")).scalar()
-    joined = lookup(parsed, per_ip, "ip", weight="ip_total_count").withColumn("__lines", total)
+    joined = lookup(keyed, per_ip, key, weight="ip_total_count")
+    if by is None:
+        lines = parsed.agg(F.greatest(F.count("*"), F.lit(1)).alias("__lines")).scalar()
+        joined = joined.withColumn("__lines", lines)
+    else:
+        joined = lookup(joined, count_keys(parsed, by, "__lines"), by, weight="__lines").drop(key)
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("ip_total_count", "ip_fail_count")}
     return (
         joined.withColumns(counts)
@@ -91,6 +98,6 @@ def ip_burst(parsed: DataFrame) -> DataFrame:
     )
 
 
-def combined_features(parsed: DataFrame) -> DataFrame:
-    """All 30 features. The activity of an address counts the lines of every source."""
-    return line_features(ip_burst(parsed))
+def combined_features(parsed: DataFrame, by: str | None = None) -> DataFrame:
+    """All 30 features. The activity of an address counts the lines of every source (of its batch)."""
+    return line_features(ip_burst(parsed, by))

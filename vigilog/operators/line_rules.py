@@ -7,6 +7,7 @@ the aggregation, by its key, so the aggregation moves counts and keys instead of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ GROUPED_RULES = (
     "HTTP-001", "HTTP-002", "HTTP-004", "HTTP-005", "HTTP-007",
 )
 SAMPLED_RULES = ("AUTH-001", "AUTH-002", "HTTP-001", "HTTP-002", "HTTP-004")
-LINE_CAP = 10
 
 
 def _triggers(fixed: bool) -> dict[str, Column]:
@@ -211,10 +211,11 @@ def _add_users(users: DataFrame, alerts: DataFrame, by: list[str]) -> DataFrame:
     return alerts.join(first, same, "left").drop("__ip", *[f"__by_{c}" for c in by])
 
 
-def _line_alert(lines: DataFrame, rule_id: str, by: list[str], trigger: Column, description: Column,
-                score: float, source_ip: Column | None = None) -> DataFrame:
+def _line_alert(rule_id: str, by: list[str], trigger: Column, description: Column,
+                score: float, source_ip: Column | None = None) -> Column:
+    """The alert of a line, null where the rule does not fire."""
     rule = RULES[rule_id]
-    return lines.filter(trigger).select(
+    return F.when(trigger, F.struct(
         *by,
         F.lit(RULE_ORDER[rule_id]).alias("rule_ord"),
         F.col("line_key").alias("first_key"),
@@ -226,56 +227,49 @@ def _line_alert(lines: DataFrame, rule_id: str, by: list[str], trigger: Column,
         F.lit(1).cast("bigint").alias("count"),
         F.lit(score).alias("rule_score"),
         F.col("raw").alias("sample_raw"),
-    )
+    ))
 
 
-def _single_alerts(lines: DataFrame, wanted: Sequence[str], by: list[str], fixed: bool) -> list[DataFrame]:
+def _single_alerts(lines: DataFrame, wanted: Sequence[str], by: list[str], fixed: bool) -> DataFrame:
+    """Every alert of the rules that look at one line, in one pass over the lines."""
     ssh = is_ssh_source(F.col("source"))
     apache = F.col("source") == "apache"
     ip = F.coalesce("ip", F.lit("None"))
     user = F.coalesce("user", F.lit("None"))
     path60 = F.substring("path", 1, 60)
     accepted = "accepted_login" if fixed else "accepted_password"
-    alerts = []
-    if "AUTH-003" in wanted:
-        alerts.append(_line_alert(
-            lines, "AUTH-003", by,
+    alerts = {
+        "AUTH-003": _line_alert(
+            "AUTH-003", by,
             ssh & (F.col("event_type") == accepted) & (F.col("user") == "root")
             & is_external(F.col("ip")),
             F.concat(F.lit("Root login accepted from external IP "), ip), 1.0,
-        ))
-    if "AUTH-004" in wanted:
-        alerts.append(_line_alert(
-            lines, "AUTH-004", by,
+        ),
+        "AUTH-004": _line_alert(
+            "AUTH-004", by,
             ssh & (F.col("event_type") == "sudo_command")
             & contains_any(F.col("command"), fv.RULE_SUDO_WORDS),
             F.concat(F.lit("User "), user, F.lit(" ran sensitive sudo: "),
                      F.substring("command", 1, 60)),
             0.85,
             F.when(is_blank(F.col("ip")), "localhost").otherwise(F.col("ip")),
-        ))
-    capped = []
-    if "HTTP-003" in wanted:
-        capped.append(_line_alert(
-            lines, "HTTP-003", by, apache & contains_any(F.col("path"), fv.RULE_TRAVERSAL_WORDS),
+        ),
+        "HTTP-003": _line_alert(
+            "HTTP-003", by, apache & contains_any(F.col("path"), fv.RULE_TRAVERSAL_WORDS),
             F.concat(F.lit("IP "), ip, F.lit(" attempted path traversal: "), path60), 0.88,
-        ))
-    if "HTTP-006" in wanted:
-        capped.append(_line_alert(
-            lines, "HTTP-006", by, apache & contains_any(F.col("path"), fv.RULE_SENSITIVE_WORDS),
+        ),
+        "HTTP-006": _line_alert(
+            "HTTP-006", by, apache & contains_any(F.col("path"), fv.RULE_SENSITIVE_WORDS),
             F.concat(F.lit("IP "), ip, F.lit(" accessed sensitive path: "), path60), 0.87,
-        ))
-    for alert in capped:
-        alerts.append(_first_lines(alert, by))
-    return alerts
+        ),
+    }
+    fired = F.array_compact(F.array(*[alerts[r] for r in wanted]))
+    return lines.select(F.explode(fired).alias("__alert")).select("__alert.*")
 
 
-def _first_lines(alerts: DataFrame, by: list[str]) -> DataFrame:
-    """The first ten alerts in line order (these two rules report no more), per batch."""
-    if not by:
-        return alerts.orderBy("first_key").limit(LINE_CAP)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("first_key"))
-    return alerts.withColumn("__rank", rank).filter(F.col("__rank") <= LINE_CAP).drop("__rank")
+def first_alerts_of(alerts: DataFrame, rule_id: str, n: int = 10) -> DataFrame:
+    """The first alerts of a rule in line order, for display."""
+    return alerts.filter(F.col("rule_id") == rule_id).orderBy("first_key").limit(n)
 
 
 def evaluate_rules(
@@ -287,16 +281,14 @@ def evaluate_rules(
     """Alerts of the chosen rules (default: all) over parsed lines.
 
     ``by`` names columns that cut the lines into independent batches. Sort by ``rule_ord`` and
-    ``first_key`` for the order in which alerts are reported. Lines are read by up to five
+    ``first_key`` for the order in which alerts are reported. Lines are read by up to four
     branches; materialise them first when parsing is not trivial.
     """
     wanted = [r.rule_id for r in fv.LINE_RULES if rules is None or r.rule_id in rules]
     by = list(by)
-    parts = _single_alerts(lines, wanted, by, fixed)
     grouped = [r for r in wanted if r in GROUPED_RULES]
-    if grouped:
-        parts.insert(0, _grouped_alerts(lines, grouped, by, fixed))
-    alerts = parts[0]
-    for part in parts[1:]:
-        alerts = alerts.unionByName(part)
-    return alerts
+    single = [r for r in wanted if r not in GROUPED_RULES]
+    parts = [_grouped_alerts(lines, grouped, by, fixed)] if grouped else []
+    if single or not parts:
+        parts.append(_single_alerts(lines, single, by, fixed))
+    return reduce(DataFrame.unionByName, parts)

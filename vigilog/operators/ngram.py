@@ -9,9 +9,6 @@ from ..functions import fixed_values as fv
 from .lookup import lookup
 from .windows import WINDOW_KEY, node_ordinals, window_lines, window_span
 
-# More steps than any window has: (window, step) as one number keeps its order.
-MAX_STEPS = 1_000_000
-
 
 def log_vocabulary(
     lines: DataFrame,
@@ -86,7 +83,7 @@ def transitions(grams: DataFrame) -> DataFrame:
     """How often, and where first, a key follows a context: ``ctx``, ``nxt``, ``n``, ``first``."""
     per_node = grams.groupBy("ctx", "nxt", "node").agg(
         F.count("*").alias("n"),
-        F.min(F.col("win_no") * MAX_STEPS + F.col("start")).alias("__place"),
+        F.min(F.struct("win_no", "start")).alias("__place"),
     )
     return per_node.groupBy("ctx", "nxt").agg(
         F.sum("n").alias("n"), F.min(F.struct("node", "__place")).alias("first")

@@ -73,6 +73,11 @@ def attack_types(alerts: DataFrame) -> DataFrame:
     )
 
 
+def distinct_blocks(lines: DataFrame) -> DataFrame:
+    """Number of different blocks; lines without one don't count. Two levels, so no task holds a set."""
+    return lines.select("block_id").filter("block_id IS NOT NULL").distinct().agg(F.count("*").alias("blocks"))
+
+
 # --- rule diagnosis ---------------------------------------------------------------------
 
 

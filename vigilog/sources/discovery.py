@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import labels as lab
 from .labels import block_number_labels, read_label_rows
+from .shared import materialise
 from .text_lines import parse_files
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Works for any file system Spark can read: a missing path fails when it is resolved."""
-    try:
-        spark.read.text(path)
-    except AnalysisException:
-        return False
-    return True
+    """Asks the file system that the path names; what it refuses is an error, not an absence."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
 
 
 def find_file(spark: SparkSession, folder: str, names: tuple[str, ...]) -> str | None:
@@ -39,7 +36,8 @@ def load_sources(spark: SparkSession, folder: str) -> DataFrame:
         path = find_file(spark, folder, names)
         if path is None:
             continue
-        lines = parse_files(spark, path, source)
+        # Written, as inferring labels reads the lines more than once.
+        lines = materialise(parse_files(spark, path, source), source)
         if source == "hdfs":
             label_path = find_file(spark, folder, fv.LABEL_FILES)
             if label_path is None:

@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: str | None = None
+_own_root: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting: it gets a temporary folder that is removed
-    when the process ends. On a cluster a machine-local folder would be wrong, so that fails.
+    Only a local session may go without the setting: it gets a folder of its own under
+    ``spark.sql.warehouse.dir``, removed when the process ends. On a cluster that fails.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    global _local_root
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="vigilog-")
-        atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
-    return _local_root
+    global _own_root
+    if _own_root is None:
+        _own_root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/vigilog-{uuid.uuid4().hex}"
+        atexit.register(_remove_own)
+    return _own_root
+
+
+def _remove_own() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        remove(spark, _own_root)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path on the file system that it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -33,12 +33,14 @@ def read_log_stream(spark: SparkSession, folder: str) -> DataFrame:
 def judge_lines(lines: DataFrame, source: str, model: Model) -> tuple[DataFrame, DataFrame]:
     """Verdict per ``batch`` and all rule alerts, for raw lines of one source.
 
+    A batch is judged by its own lines alone, whatever arrives with it.
+
     The parsed lines and the raw scores are written out, since several steps read them.
     """
     parsed = materialise(parse_source(lines, source), "stream-lines")
     alerts = evaluate_rules(parsed, by=["batch"])
     raw = materialise(
-        score(combined_features(parsed), model).select("batch", "raw_score"), "stream-scores"
+        score(combined_features(parsed, by="batch"), model).select("batch", "raw_score"), "stream-scores"
     )
     scored = normalise_scores(raw, by=("batch",)).withColumn("log_type", F.lit(source))
     return batch_verdict(scored, alerts), alerts
