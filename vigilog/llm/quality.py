@@ -77,32 +77,32 @@ def votes(docs: DataFrame) -> DataFrame:
 def fit_labellers(counts: list[tuple[str, int]]) -> tuple[dict[str, float], list[float], float]:
     """Posterior of each pattern, accuracy of each labeller, and share of good texts, from pattern counts.
 
-    The accuracy of a labeller is how often its vote is right; it starts at 0.7, so that a majority
-    names the classes, and is smoothed by one vote each way. Abstaining says nothing.
+    A labeller gives good, bad or nothing with chances of its own in each class; its accuracy is how
+    often its vote is right. The start takes a text for the worse the more bad votes it has, which
+    names the classes; chances are smoothed by one text each.
     """
     if not counts:
         return {}, [], 0.5
     patterns = [p for p, _ in counts]
     n = np.array([c for _, c in counts], np.float64)
-    vote = np.array([[{"1": 1, "0": 0, "-": -1}[x] for x in p] for p in patterns])
-    good, bad = vote == 1, vote == 0
-    accuracy, prior = np.full(vote.shape[1], 0.7), 0.5
-    posterior = np.full(len(n), 0.5)
+    outcome = np.array([["10-".index(x) for x in p] for p in patterns])
+    given = np.eye(3)[outcome]  # pattern x labeller x outcome
+    posterior = np.clip(0.95 - 0.3 * (outcome == 1).sum(axis=1), 0.05, 0.95)
+    chance, prior = np.empty((2, *given.shape[1:])), 0.5
     for _ in range(EM_ROUNDS):
-        right, wrong = np.log(accuracy), np.log1p(-accuracy)
-        for_good = np.log(prior) + good @ right + bad @ wrong
-        for_bad = np.log1p(-prior) + good @ wrong + bad @ right
-        posterior = 1 / (1 + np.exp(np.clip(for_bad - for_good, -500, 500)))
-        hits = (good * posterior[:, None] + bad * (1 - posterior)[:, None]) * n[:, None]
-        accuracy_new = (hits.sum(axis=0) + 1) / (((good | bad) * n[:, None]).sum(axis=0) + 2)
-        # No labeller counts as worse than chance, or the two classes could change places.
-        accuracy_new = np.clip(accuracy_new, 0.5, 0.999)
-        prior_new = float(np.clip((posterior @ n + 1) / (n.sum() + 2), 0.01, 0.99))
-        done = np.abs(accuracy_new - accuracy).max() < 1e-9 and abs(prior_new - prior) < 1e-9
-        accuracy, prior = accuracy_new, prior_new
+        for k, weight in enumerate((posterior * n, (1 - posterior) * n)):
+            sums = np.einsum("p,pjo->jo", weight, given) + 1
+            chance[k] = sums / sums.sum(axis=1, keepdims=True)
+        prior = float((posterior @ n + 1) / (n.sum() + 2))
+        good, bad = (np.einsum("pjo,jo->p", given, np.log(c)) for c in chance)
+        new = 1 / (1 + np.exp(np.clip(bad + np.log1p(-prior) - good - np.log(prior), -500, 500)))
+        done = np.abs(new - posterior).max() < 1e-9
+        posterior = new
         if done:
             break
-    return dict(zip(patterns, posterior.tolist(), strict=True)), accuracy.tolist(), prior
+    right = prior * chance[0, :, 0] + (1 - prior) * chance[1, :, 1]
+    voted = prior * chance[0, :, :2].sum(axis=1) + (1 - prior) * chance[1, :, :2].sum(axis=1)
+    return dict(zip(patterns, posterior.tolist(), strict=True)), (right / voted).tolist(), prior
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
@@ -140,8 +140,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts are scored like any other; repeated rows get the same scores; an empty table gives no rows.
     Other columns are not looked at.
     """
-    voted = votes(docs)
-    seen = materialise(voted.select("doc_id", "pattern"), "votes")
+    seen = materialise(votes(docs), "votes")  # with the texts: reading them costs less than voting again
     counts = [(r[0], r[1]) for r in seen.groupBy("pattern").count().collect()]  # at most 3 ** labellers
     posteriors, _, _ = fit_labellers(sorted(counts))
     if not posteriors:
@@ -149,7 +148,7 @@ def score(docs: DataFrame) -> DataFrame:
             "doc_id", "pattern", *[F.lit(0.5).alias(c) for c in ("posterior", "quality")], F.lit(True).alias("keep")
         )
     of_pattern = F.create_map(*[F.lit(x) for pair in posteriors.items() for x in pair])
-    labelled = voted.withColumn("posterior", of_pattern[F.col("pattern")])
+    labelled = seen.withColumn("posterior", of_pattern[F.col("pattern")])
     model = train(labelled)
     judged = model.transform(_hashed(labelled))
     quality = vector_to_array("probability")[1]
