@@ -24,19 +24,22 @@ def plain_bits(texts, lang, text):
                 for order in range(ORDER + 1):
                     follow[raw[i - order : i]][raw[i]] += 1
 
-    def probability(context, byte):
-        shorter = (lambda b: probability(context[1:], b)) if context else (lambda b: 1 / 256)
-        seen = follow.get(context)
-        if not seen:
-            return shorter(byte)
-        total = sum(seen.values()) + len(seen)
-        if byte in seen:
-            return seen[byte] / total
-        left = sum(shorter(b) for b in range(256) if b not in seen)
-        return len(seen) / total * shorter(byte) / left
+    known = {None: [1 / 256] * 256}
+
+    def chances(context):
+        if context not in known:
+            shorter = chances(context[1:] if context else None)
+            seen = follow.get(context)
+            if not seen:
+                known[context] = shorter
+            else:
+                total = sum(seen.values()) + len(seen)
+                left = sum(p for b, p in enumerate(shorter) if b not in seen)
+                known[context] = [seen[b] / total if b in seen else len(seen) / total * p / left for b, p in enumerate(shorter)]
+        return known[context]
 
     raw = b"\0" * ORDER + text.encode()
-    return sum(-math.log2(probability(raw[i - ORDER : i], raw[i])) for i in range(ORDER, len(raw)))
+    return sum(-math.log2(chances(raw[i - ORDER : i])[raw[i]]) for i in range(ORDER, len(raw)))
 
 
 def test_exact_code_lengths():

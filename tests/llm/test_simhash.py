@@ -38,7 +38,7 @@ def groups(pairs):
 
 
 def near_pairs(points, radius):
-    return [(a, b) for i, a in enumerate(points) for b in points[i:] if (a ^ b).bit_count() <= radius]
+    return [(a, b) for i, a in enumerate(points) for b in points[i:] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius]
 
 
 def clustered(n, copies, seed=0):
