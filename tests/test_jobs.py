@@ -1,11 +1,14 @@
 """Whole jobs and streams."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from queryset import QUERIES, logs
 from vigilog.operators import forest
 from vigilog.operators.line_features import COMBINED_FEATURES, combined_features
 from vigilog.plans import line_plan, session_plan
+from vigilog.sources.shared import shared_dir, workspace
 from vigilog.streaming.verdict import judge_lines, read_log_stream, start_verdicts
 
 
@@ -41,6 +44,7 @@ def test_stream_gives_the_verdicts_of_the_batch_job(spark, sf_dir, tmp_path):
     start_verdicts(
         read_log_stream(spark, str(folder)), "ssh", model, str(tmp_path / "out"), str(tmp_path / "state"), once=True
     ).awaitTermination()
+    assert not glob.glob(f"{shared_dir(spark).removeprefix('file://')}/vigilog-stream-*")
     streamed = {r["batch"]: r for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
     assert len(streamed) == 3
     batch = spark.createDataFrame(
@@ -52,6 +56,21 @@ def test_stream_gives_the_verdicts_of_the_batch_job(spark, sf_dir, tmp_path):
         assert (r["events"], r["rule_hits"], r["verdict"]) == (twin["events"], twin["rule_hits"], twin["verdict"])
 
 
+def test_a_batch_is_judged_by_its_own_lines(spark, sf_dir):
+    lines = logs.labelled(spark, sf_dir, "ssh")
+    # All lines count as normal, so the model has seen addresses with many and with few lines.
+    model = forest.fit(combined_features(lines.withColumn("label", F.lit(0))), COMBINED_FEATURES, ["line_key"], trees=20)
+    both = lines.select("line_key", "raw", F.concat(F.lit("b"), F.floor(F.col("line_key") / 300)).alias("batch"))
+    both = both.filter("batch IN ('b0', 'b1')")
+    with workspace(spark):
+        together = {r["batch"]: r for r in judge_lines(both, "ssh", model)[0].collect()}
+        for batch, row in together.items():
+            alone = judge_lines(both.filter(F.col("batch") == batch), "ssh", model)[0].first()
+            assert alone == row
+    counts = combined_features(logs.parsing.parse_source(both, "ssh"), by="batch").agg(F.max("ip_total_count")).first()[0]
+    assert counts <= 300
+
+
 def test_queries_without_oracle_give_rows(spark, sf_dir):
     for name in ("iforest_trees", "cross_validate", "permutation_importance"):
         assert QUERIES[name](spark, sf_dir).count() > 0

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,9 +44,29 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Tables written by steps inside are removed at the end, however it comes.
+
+    For jobs that run again and again, such as a micro-batch; their results must be written before.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/vigilog-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vigilog-{name}-{uuid.uuid4().hex}"
+    written = _written.get()
+    if written is not None:
+        written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.line_features import combined_features
 from ..operators.line_rules import evaluate_rules
 from ..operators.parsing import parse_source
 from ..operators.reports import batch_verdict
-from ..sources.shared import materialise
+from ..sources.shared import materialise, workspace
 
 VERDICT_SCHEMA = (
     "batch string, events bigint, rule_hits bigint, rule_score double, anomaly_score double,"
@@ -52,7 +52,7 @@ def start_verdicts(
     """Append verdicts and alerts of each micro-batch under ``out``.
 
     A micro-batch writes to folders of its own number and overwrites them when it is repeated
-    after a failure, so results are neither lost nor doubled.
+    after a failure, so results are neither lost nor doubled. Tables in between are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -68,9 +68,10 @@ def start_verdicts(
             )
             .filter(F.col("raw") != "")
         )
-        verdicts, alerts = judge_lines(lines, source, model)
-        verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/micro_batch={number}")
-        alerts.write.mode("overwrite").parquet(f"{out}/alerts/micro_batch={number}")
+        with workspace(batch.sparkSession):
+            verdicts, alerts = judge_lines(lines, source, model)
+            verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/micro_batch={number}")
+            alerts.write.mode("overwrite").parquet(f"{out}/alerts/micro_batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
