@@ -13,8 +13,7 @@ A match that is a token itself is taken as that token at once, as the public enc
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +27,28 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 SHORT = 64
 #: Matches kept with their ids in a worker before older ones are set aside (so up to twice as many),
 #: and characters split at a time.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 180_000
 SLICE_CHARS = 1 << 21
 #: A pattern under which a single space begins a match; texts are cut there first. Fixed value.
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that end a word, and the first character whose kind is left to the pattern.
 MARKS = frozenset(".,;:!?")
 UNUSUAL = "\u0370"
-SPACES = re.compile(r" \s|\s ").search
+#: White space of one byte, and other.
+SPACES, WIDE_SPACES = " \t\n\r\v\f\x1c\x1d\x1e\x1f", "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Width of the tree of a word by its length.
+WIDTHS = [1 << max(1, (n - 1).bit_length()) for n in range(SHORT + 1)]
 NONE = np.int32(np.iinfo(np.int32).max)
 
 
+def _apart(text: str) -> bool:
+    """No two white spaces in a row, and none at either end."""
+    spaces = sum(map(text.count, SPACES))
+    if not text.isascii():
+        spaces += sum(map(text.count, WIDE_SPACES))
+    return len(text.split()) == spaces + 1
+
+
 class Ranks:
     """A vocabulary of ranked tokens and the table of pairs that merge."""
 
@@ -61,9 +71,10 @@ class Ranks:
         }
         self._hash_pairs()
         self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.id_bytes = [np.int32(i).tobytes() for i in range(self.base)]
+        self.marks = {mark: self.id_bytes[self.rank[mark.encode()]] for mark in MARKS}
         self.by_space = pattern == SPACE_PATTERN
 
     def _hash_pairs(self) -> None:
@@ -200,33 +211,30 @@ class Ranks:
                         node >>= 1
         return np.array([i for i in ids if i >= 0], np.int32)
 
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of the words into the cache."""
-        waiting: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            known = self.older.get(word)
-            if known is not None:
-                self.cache[word] = known
-                continue
-            raw = word.encode()
-            rank = self.rank.get(raw)
+    def learn(self, names: list[str], words: list[bytes], into: dict[str, bytes]) -> None:
+        """Put the ids of the words, one match each, into a cache under their names."""
+        waiting: dict[int, tuple[list[str], list[bytes]]] = {}
+        for name, word, rank in zip(names, words, map(self.rank.get, words), strict=True):
             if rank is not None:
-                self.cache[word] = np.int32(rank).tobytes()
-            elif len(raw) > SHORT:
-                self.cache[word] = self.merge_one(raw).tobytes()
+                into[name] = self.id_bytes[rank]
+            elif len(word) > SHORT:
+                into[name] = self.merge_one(word).tobytes()
             else:
-                waiting.setdefault(1 << (len(raw) - 1).bit_length(), []).append((word, raw))
-        for width, pairs in waiting.items():
-            ids, counts = self.merge_many([raw for _, raw in pairs], width)
+                pair = waiting.get(WIDTHS[len(word)])
+                if pair is None:
+                    pair = waiting[WIDTHS[len(word)]] = ([], [])
+                pair[0].append(name)
+                pair[1].append(word)
+        for width, (owners, raw) in waiting.items():
+            ids, counts = self.merge_many(raw, width)
             ends = (4 * np.cumsum(counts)).tolist()
-            for (word, _), start, end in zip(pairs, [0, *ends], ends, strict=False):
-                self.cache[word] = ids[start:end]
+            into.update((name, ids[start:end]) for name, start, end in zip(owners, [0, *ends[:-1]], ends, strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """Token ids of a text as 32-bit numbers."""
         return next(self.encode_all([text or ""]))
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Token ids of each text, as 32-bit numbers; words are held for about two million characters."""
         waiting: list[tuple[list[str], list[str]]] = []
         chars = 0
@@ -245,41 +253,47 @@ class Ranks:
         spaces in a row may be cut there and its words be kept with their ids. Other texts are split
         as a whole.
         """
-        if not self.by_space or not text or text[0] == " " or text[-1] == " " or SPACES(text):
+        if not self.by_space or not text or not _apart(text):
             return self.split(text), []
         words = text.split(" ")
         return self.split(words[0]), words[1:]
 
-    def _pieces(self, word: str) -> list[str]:
-        """Matches in a space and a word without spaces; letters, and letters with a mark at the end, at once."""
-        if word[-1:] in MARKS and word[:-1].isalpha() and max(word) < UNUSUAL:
-            return [" " + word[:-1], word[-1]]
-        if word.isalpha() and max(word) < UNUSUAL:
-            return [" " + word]
-        return self.split(" " + word)
-
     def _assemble(self, waiting: list[tuple[list[str], list[str]]]) -> Iterator[bytes]:
         if len(self.cache) > CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
+            self.cache = {}
         if len(self.words) > CACHE_ENTRIES:
-            self.older_words, self.words = self.words, {}
-        known, older = self.words, self.older_words
-        new = [w for w in set().union(*(words for _, words in waiting)) if w not in known]
-        pieces = {}
-        for word in new:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        letters, marked, others = {}, [], {}
+        for word in set().union(*(words for _, words in waiting)):
+            if word in known:
+                continue
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
+                continue
+            # Letters are one match, with a mark after them two; the rest is left to the pattern.
+            base = word[:-1] if word[-1] in MARKS else word
+            if base.isalpha() and (base.isascii() or max(base) < UNUSUAL):
+                if base not in known:
+                    letters[base] = None
+                if base is not word:
+                    marked.append(word)
             else:
-                pieces[word] = self._pieces(word)
+                others[word] = self.split(" " + word)
+        if letters:
+            names = list(letters)
+            self.learn(names, [b" " + w for w in " ".join(names).encode().split(b" ")], known)
+        for word in marked:
+            known[word] = known[word[:-1]] + self.marks[word[-1]]
         cache = self.cache
-        self.learn({p for p in set().union(*pieces.values(), *(first for first, _ in waiting)) if p not in cache})
-        ids = cache.__getitem__
-        for word, parts in pieces.items():
-            known[word] = ids(parts[0]) if len(parts) == 1 else b"".join(map(ids, parts))
-        word_ids = self.words.__getitem__
+        new = [p for p in set().union(*others.values(), *(first for first, _ in waiting)) if p not in cache]
+        self.learn(new, [p.encode() for p in new], cache)
+        for word, parts in others.items():
+            known[word] = b"".join(map(cache.__getitem__, parts))
+        first_ids, word_ids = cache.__getitem__, known.__getitem__
         for first, words in waiting:
-            yield b"".join(map(ids, first)) + b"".join(map(word_ids, words))
+            yield b"".join(map(first_ids, first)) + b"".join(map(word_ids, words))
 
     def decode(self, arrays: pa.ListArray) -> pa.BinaryArray:
         """The bytes of each array of ids. The bytes of a batch are one gather of its tokens."""
@@ -324,11 +338,12 @@ class BytePairs:
 
         @F.arrow_udf(ArrayType(IntegerType()))
         def encode(texts: pa.Array) -> pa.Array:
-            ids = list(_table(vocabulary, pattern).encode_all(texts.to_pylist()))
-            offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
-            return pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))
-            )
+            # One text at a time, and all ids in one buffer: a batch is never held twice.
+            ids, offsets = bytearray(), [0]
+            for own in _table(vocabulary, pattern).encode_all(t.as_py() for t in texts):
+                ids += own
+                offsets.append(len(ids) // 4)
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
 
         return encode(text)
 
