@@ -1,11 +1,14 @@
 """The pipeline: each stage on small rows, and the whole against a plain version."""
 
+from collections import Counter
+
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
 from test_simhash import near_pairs, plain_fingerprint, groups
 from vigilog.llm.byte_pairs import Ranks
+from vigilog.llm.mixing import mix
 from vigilog.llm.secrets import REDACTED
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int"
@@ -59,6 +62,26 @@ def test_mixing_stage(spark, sf_dir):
     assert abs(size(out) - 1.5 * size(docs)) < 0.1 * size(docs)
 
 
+def test_mixing_stage_copies(spark, sf_dir):
+    """Each document comes as often as the mix takes it, and each source near its target, also below its size."""
+    rows = [(i, "w " * (20 + i % 9), "en", "big" if i % 10 else "small", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA.removesuffix(", fp int"))
+    times = {r.doc_id: (r.times, r.source, r.target, r.source_size) for r in mix(docs, [1, 1], share=1.0, keep=["doc_id", "source"]).collect()}
+    assert {t for t, *_ in times.values()} == {0, 1, 2}
+    mixed = corpus_pipeline.mix
+    try:
+        corpus_pipeline.mix = lambda docs, weights, keep: mixed(docs, [1, 1], share=1.0, keep=keep)
+        out = corpus_pipeline.mixing_stage(spark, docs, sf_dir).collect()
+    finally:
+        corpus_pipeline.mix = mixed
+    copies = Counter(r.doc_id for r in out)
+    assert all(copies[i] == t for i, (t, *_) in times.items())
+    for source in ("big", "small"):
+        target, size = next((t, s) for _, name, t, s in times.values() if name == source)
+        assert target < size or source == "small"
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - target) < 30
+
+
 def test_whole_pipeline(spark, sf_dir):
     """All stages but the learnt one and the mix have an exact plain version; these follow their own input."""
     seen = {}
