@@ -1,12 +1,15 @@
 """Multiset hashes: algebra, likeness and neighbours."""
 
 import hashlib
+import random
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vigilog.llm.multiset import Fingerprint, deleted, edited, fingerprint, inserted, with_next
+from vigilog.llm.multiset import LIKE_LANES, WINDOW, Fingerprint, deleted, edited, fingerprint, inserted, with_next
 
 PARAGRAPHS = st.lists(st.text(alphabet="ab \0é", max_size=40), min_size=1, max_size=6)
 
@@ -72,3 +75,29 @@ def test_next_document(spark, monkeypatch):
 def test_query_takes_all_rows(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     check(spark, docs)
+
+
+def test_long_repetitive_texts_keep_their_likeness():
+    """Megabytes of one passage, against the exact count of windows by lane."""
+    rng = random.Random(5)
+    passage, other = ("".join(rng.choice("abcdefghij ") for _ in range(900)) for _ in range(2))
+    cases = [
+        (passage * 9000, passage * 4500 + other * 4500),
+        ("ab " * 400_000, "ab " * 200_000 + "cd " * 200_000),
+        ("thirty-five characters in sentence " * 100_000, "thirty-five characters in sentence " * 50_000 + "x" * 1_750_000),
+    ]
+    for left, right in cases:
+        lanes = []
+        for text in (left, right):
+            sums = np.zeros(LIKE_LANES, object)
+            windows = Counter(text[i : i + WINDOW].ljust(WINDOW, "\0") for i in range(len(text)))
+            for window, times in windows.items():
+                one = Fingerprint.of(window).like - Fingerprint.of(window[1:]).like  # the window that starts first
+                sums += one.astype(object) * times
+            lanes.append(sums)
+        a, b = lanes
+        assert max(map(abs, [*a, *b])) >= 1 << 15
+        expected = 2 * int(a @ b) / (int(a @ a) + int(b @ b))
+        one, two = Fingerprint.of(left), Fingerprint.of(right)
+        assert abs(one.likeness(two) - min(1.0, max(0.0, expected))) < 1e-9
+        assert Fingerprint.parse(str(one)) == one

@@ -5,8 +5,9 @@ paragraphs, lane by lane modulo a power of two. So the order of paragraphs doesn
 paragraph is inserted or deleted by adding or subtracting its vector, without the rest of the text.
 
 A vector has two parts. ``EQUAL_LANES`` lanes modulo 2^64 are a BLAKE2b digest of the paragraph and
-tell equal multisets from different ones. ``LIKE_LANES`` lanes modulo 2^16 hold a count sketch of the
-paragraph's windows of 16 bytes: each window adds 1 or -1 to one lane that its hash names. Dot
+tell equal multisets from different ones. ``LIKE_LANES`` lanes modulo 2^32 hold a count sketch of the
+paragraph's windows of 16 bytes: each window adds 1 or -1 to one lane that its hash names, so that no
+text under 2^31 bytes, more than a column value can have, wraps a lane. Dot
 products of such sums estimate how many windows two documents share, with a relative error of about
 (2 / LIKE_LANES)^0.5.
 """
@@ -42,7 +43,7 @@ class Fingerprint:
 
     def __init__(self, equal: np.ndarray | None = None, like: np.ndarray | None = None):
         self.equal = np.zeros(EQUAL_LANES, np.uint64) if equal is None else equal
-        self.like = np.zeros(LIKE_LANES, np.int16) if like is None else like
+        self.like = np.zeros(LIKE_LANES, np.int32) if like is None else like
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
@@ -56,17 +57,17 @@ class Fingerprint:
         step = 1 << 18
         for start in range(0, len(data) - WINDOW, step):
             sums += _lanes(data[start : start + step + WINDOW])
-        return cls(equal, (sums[::2] - sums[1::2]).astype(np.int16))
+        return cls(equal, (sums[::2] - sums[1::2]).astype(np.int32))
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         return cls(
             np.frombuffer(bytes.fromhex(text[:_HEX_EQUAL]), ">u8").astype(np.uint64),
-            np.frombuffer(bytes.fromhex(text[_HEX_EQUAL:]), ">i2").astype(np.int16),
+            np.frombuffer(bytes.fromhex(text[_HEX_EQUAL:]), ">i4").astype(np.int32),
         )
 
     def __str__(self) -> str:
-        return (self.equal.astype(">u8").tobytes() + self.like.astype(">i2").tobytes()).hex()
+        return (self.equal.astype(">u8").tobytes() + self.like.astype(">i4").tobytes()).hex()
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.equal + other.equal, self.like + other.like)
