@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 All work is column expressions and Spark's own forest. A candidate is a long run of key characters
-with a digit in it; its features are its length and character mix, how often the kind of character
+with a digit or a known prefix, a value set beside a word such as password or key, whatever its
+characters, or the password of a URL; its features are its length and character mix, how often the kind of character
 changes, how much of it dictionary words cover, whether it stands in a path, and the words beside it.
 
 The forest is trained from labelled findings. Where none are given, ``planted_findings`` makes them
@@ -22,7 +23,6 @@ from ..sources.shared import materialise
 #: Shortest candidate, and characters looked at on either side.
 SHORTEST = 16
 AROUND = 48
-CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}"
 #: Words that make up harmless names, words beside secrets, and words beside harmless keys.
 DICTIONARY = (
     "and|app|auth|build|cache|client|config|data|demo|example|file|for|http|image|img|index|item|key|"
@@ -36,6 +36,14 @@ HARMLESS_WORDS = (
 )
 PREFIXES = "AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|npm_|sk-|sk_live_|xox[abp]-|eyJ|SG_"
 REDACTED = "[REDACTED]"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=(?:{PREFIXES})|[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}"
+#: A value set beside a word: all between quotes, or all up to a space but closing punctuation. Group 1 ends the match.
+ASSIGNED = (
+    r"""(?i:pass(?:word|wd|phrase)|pwd|secret|token|key|credential)s?["']?\s*(?:[=:]=?|=>)\s*["']?"""
+    r"""((?<=")[^\s"]{6,}(?=")|(?<=')[^\s']{6,}(?=')|(?<!["'])[^\s"'][^\s"']{4,}[^\s"'.,;:)\]}>])"""
+)
+#: The password of a URL.
+IN_URL = r"""://[^\s/:@"']*:([^\s/@"']+)(?=@)"""
 #: Documents that lend surroundings to planted findings, at most about; trees and their depth; the cut.
 TRAIN_DOCUMENTS = 2000
 TREES = 30
@@ -52,26 +60,39 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, at, candidate, before, after`` of every candidate in every text.
 
     ``at`` counts characters from 0; ``before`` and ``after`` are up to ``AROUND`` characters. Texts
-    between the candidates come from a split by the same pattern, so a text is passed over twice and only
-    texts with candidates give rows. Null and empty texts give none; a row without ``doc_id`` gives
-    its candidates with a null id; repeated rows give theirs each.
+    between the candidates come from a split by the same pattern, so a text is passed over twice for each
+    pattern and only texts with candidates give rows. What several patterns find alike comes once; a value
+    that holds a shorter candidate gives both. Null and empty texts give none; a row without ``doc_id``
+    gives its candidates with a null id; repeated rows give theirs each.
     """
-    found = docs.select("doc_id", F.col(text).alias("t")).filter(F.col("t").rlike(CANDIDATE))
-    parts = found.select(
-        "doc_id",
-        F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("keys"),
-        F.split("t", CANDIDATE, -1).alias("gaps"),
-    )
-    each = parts.select("doc_id", "keys", "gaps", F.posexplode("keys").alias("i", "candidate"))
-    # Characters before a candidate: the gaps up to it and the candidates before it.
+    patterns = {"run": (CANDIDATE, 0), "set": (ASSIGNED, 1), "url": (IN_URL, 1)}
+    any_ = F.lit(False)
+    for pattern, _ in patterns.values():
+        any_ = any_ | F.col("t").rlike(pattern)
+    parts = docs.select("doc_id", F.col(text).alias("t")).filter(any_)
+    parts = parts.select("doc_id", *[
+        column
+        for name, (pattern, group) in patterns.items()
+        for column in (
+            F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias(f"{name}_all"),
+            F.regexp_extract_all("t", F.lit(pattern), F.lit(group)).alias(f"{name}_keys"),
+            F.split("t", pattern, -1).alias(f"{name}_gaps"),
+        )
+    ])
+    # Characters before a candidate: the gaps up to it, the matches before it, and what its match has before it.
     total = "aggregate(slice({0}, 1, {1}), 0L, (s, x) -> s + length(x))"
-    return each.select(
-        "doc_id",
-        F.expr(total.format("gaps", "i + 1") + " + " + total.format("keys", "i")).alias("at"),
-        "candidate",
-        F.expr(f"right(gaps[i], {AROUND})").alias("before"),
-        F.expr(f"left(gaps[i + 1], {AROUND})").alias("after"),
-    )
+    spans = {
+        name: f"""transform({name}_keys, (k, i) -> named_struct(
+            'at', {total.format(f"{name}_gaps", "i + 1")} + {total.format(f"{name}_all", "i + 1")} - length(k),
+            'candidate', k,
+            'before', right(concat({name}_gaps[i], left({name}_all[i], length({name}_all[i]) - length(k))), {AROUND}),
+            'after', left({name}_gaps[i + 1], {AROUND})))"""
+        for name in patterns
+    }
+    each = parts.select("doc_id", *[F.expr(e).alias(name) for name, e in spans.items()])
+    new = "filter({0}, x -> NOT exists({1}, y -> y.at = x.at AND y.candidate = x.candidate))"
+    each = each.select("doc_id", F.expr(f"concat(run, {new.format('set', 'run')}, {new.format('url', 'concat(run, set)')})").alias("all"))
+    return each.select("doc_id", F.explode("all").alias("c")).select("doc_id", "c.at", "c.candidate", "c.before", "c.after")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -140,6 +161,22 @@ def planted_findings(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
         (1, "' access '", "concat('AKIA', " + upper.format(16) + ")", "','"),
         (1, "' '", "concat('ghp_', " + mixed.format(36) + ")", "''"),
         (1, "' Authorization: Bearer '", mixed.format(43), "''"),
+        (1, "' '", "concat('AKIA', translate(" + upper.format(16) + ", '234567', 'GHIJLN'))", "''"),
+        (1, "' password = \"'", "concat(initcap(translate(word, 'aeio', '4310')), substr(h, 7, 3))", "'\"'"),
+        (1, "' password: '", "concat(initcap(word), left(translate(h, 'abcdef', '123456'), 3), '!')", "''"),
+        (1, "' pwd='", "concat(substr(h, 3, 3), '$', initcap(word), '#', substr(h, 9, 2))", "''"),
+        (1, "' secret: \\''", mixed.format(10), "'\\''"),
+        (1, "' api_key = '", "concat(" + mixed.format(6) + ", '%', substr(h, 5, 4), '.', substr(h, 20, 4))", "''"),
+        (1, "' postgres://admin:'", "concat(translate(word, 'aeio', '4310'), initcap(word))", "'@db.host/x'"),
+        (1, "' https://build:'", mixed.format(12), "'@host.example/x'"),
+        (0, "' password: '", "word", "''"),
+        (0, "' key: '", "concat(word, word)", "''"),
+        (0, "' key = '", "concat(word, '_', word)", "''"),
+        (0, "' token: \"'", "concat(word, '-', word)", "'\"'"),
+        (0, "' password = \"'", "'your_password'", "'\"'"),
+        (0, "' secret='", "concat(word, '.', word)", "'(1)'"),
+        (0, "' password=${'", "concat(upper(word), '_', upper(word))", "'}'"),
+        (0, "' https://user:'", "'password'", "'@host.example/x'"),
         (0, "' commit '", "left(h, 40)", "''"),
         (0, "' sha256 checksum '", "left(h, 64)", "''"),
         (0, "' md5: '", "left(h, 32)", "''"),
