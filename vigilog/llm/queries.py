@@ -13,6 +13,7 @@ from . import quality
 from .byte_pairs import BytePairs
 from .chats import format_chats
 from .language import identify, train
+from .merkle import Manifest
 from .mixing import mix
 from .multiset import with_next
 from .neighbours import nearest
@@ -235,3 +236,16 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = each[0].unionByName(each[1])
     results = calls.filter("content <> ''").select("conv_id", "call_id", "content")
     return format_chats(turns, calls, results, SCHEMAS)
+
+
+#: The columns of a leaf, in their order. Fixed values.
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query("op13_merkle")
+def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents under one root, checked after every third text was lower-cased."""
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    now = lambda name: F.when(changed, lower).otherwise(F.col("text")) if name == "text" else F.col(name)
+    return Manifest().prove(table(spark, sf_dir, "documents"), "doc_id", "lang", LEAF_FIELDS, now)
