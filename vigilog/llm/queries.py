@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise, new_path
-from . import quality
+from . import quality, warc
 from .byte_pairs import BytePairs
 from .chats import format_chats
 from .language import identify, train
@@ -249,3 +249,31 @@ def merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     now = lambda name: F.when(changed, lower).otherwise(F.col("text")) if name == "text" else F.col(name)
     return Manifest().prove(table(spark, sf_dir, "documents"), "doc_id", "lang", LEAF_FIELDS, now)
+
+
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
+  FROM pages),
+typed AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM latest AS again FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN latest END AS refers_to
+FROM typed
+"""
+
+
+@query("op12_warc", WARC_SQL)
+def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    warc.register(spark)
+    path = new_path(spark, "warc")
+    warc.records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
+    return warc.verified(spark.read.format("warc").load(path)).select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
