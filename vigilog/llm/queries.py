@@ -17,6 +17,7 @@ from .merkle import Manifest
 from .mixing import mix
 from .multiset import with_next
 from .neighbours import nearest
+from .repair import summary
 from .rollups import Rollups, changes_of, token_count
 from .secrets import scan
 from .simhash import as_hex, near_duplicates
@@ -277,3 +278,28 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which some, by a checksum, are left out, emptied, unended, repeated or given to the user."""
+    space = F.lit(" ")
+    named = turns.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    named = named.withColumn("kind", F.crc32(key.cast("binary")) % 20).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return named.select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+
+
+@query("op11_repair")
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    all_ = turns.select(F.col("conv_id").alias("id")).distinct()
+    found = all_.join(summary(damaged(turns)), F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    longs = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select(
+        F.col("id").alias("conv_id"), *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
+    )
