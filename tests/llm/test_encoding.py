@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from vigilog.llm import byte_pairs
 from vigilog.llm.byte_pairs import BytePairs, Ranks
 from vigilog.llm.queries import QUERIES
 
@@ -73,3 +75,24 @@ def test_query_against_public_encoder(spark, sf_dir, public):
         assert row.n_tokens == len(tokens)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_one_pass_columns(spark):
+    codec = BytePairs(spark, PATH, public_tokenizers.PATTERN)
+    rows = [(1, "one two"), (2, None), (3, ""), (3, "é" * 70), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = df.select("text", codec.encode_checked("text").alias("c"), codec.encode_decoded("text").alias("d"), codec.encode("text").alias("ids")).collect()
+    assert all(r.c.round_trip and r.c.ids == r.d.ids == r.ids and bytes(r.d.decoded) == (r.text or "").encode() for r in out)
+    assert df.limit(0).select(codec.encode_checked("text")).collect() == []
+
+
+def test_small_caches_give_the_same(ranks, public, monkeypatch):
+    """Matches that were set aside, and words merged in many lots."""
+    monkeypatch.setattr(byte_pairs, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(byte_pairs, "SLICE_CHARS", 200)
+    monkeypatch.setattr(byte_pairs, "MERGED", 3)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdeé.1") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(60)]
+    for text, own in zip(texts + texts, ranks.encode_all(texts + texts), strict=True):
+        assert np.frombuffer(own, np.int32).tolist() == public.encode_ordinary(text)
+    assert len(ranks.words) + len(ranks.older) < 400

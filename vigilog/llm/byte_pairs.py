@@ -13,6 +13,7 @@ A match that is a token itself is taken as that token at once, as the public enc
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,10 +26,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 #: Matches up to so many bytes are merged many at a time.
 SHORT = 64
-#: Matches kept with their ids in a worker before older ones are set aside (so up to twice as many),
-#: and characters split at a time.
-CACHE_ENTRIES = 180_000
-SLICE_CHARS = 1 << 21
+#: Bytes, about, of matches kept with their ids in a worker before older ones are set aside (so up to
+#: three times as many), and what one costs besides its characters and ids.
+CACHE_BYTES, ENTRY_BYTES = 16 << 20, 200
+#: Characters split, and words merged, at a time.
+SLICE_CHARS = 1 << 19
+MERGED = 1 << 13
 #: A pattern under which a single space begins a match; texts are cut there first. Fixed value.
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Marks that end a word, and the first character whose kind is left to the pattern.
@@ -70,6 +73,7 @@ class Ranks:
             if token[:cut] in self.rank and token[cut:] in self.rank
         }
         self._hash_pairs()
+        self.cache_bytes = self.word_bytes = 0
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -226,16 +230,17 @@ class Ranks:
                 pair[0].append(name)
                 pair[1].append(word)
         for width, (owners, raw) in waiting.items():
-            ids, counts = self.merge_many(raw, width)
-            ends = (4 * np.cumsum(counts)).tolist()
-            into.update((name, ids[start:end]) for name, start, end in zip(owners, [0, *ends[:-1]], ends, strict=True))
+            for i in range(0, len(raw), MERGED):
+                ids, counts = self.merge_many(raw[i : i + MERGED], width)
+                ends = (4 * np.cumsum(counts)).tolist()
+                into.update((name, ids[start:end]) for name, start, end in zip(owners[i : i + MERGED], [0, *ends[:-1]], ends, strict=True))
 
     def encode(self, text: str | None) -> bytes:
         """Token ids of a text as 32-bit numbers."""
         return next(self.encode_all([text or ""]))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Token ids of each text, as 32-bit numbers; words are held for about two million characters."""
+        """Token ids of each text, as 32-bit numbers; words are held for about ``SLICE_CHARS`` characters."""
         waiting: list[tuple[list[str], list[str]]] = []
         chars = 0
         for text in texts:
@@ -259,10 +264,10 @@ class Ranks:
         return self.split(words[0]), words[1:]
 
     def _assemble(self, waiting: list[tuple[list[str], list[str]]]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
-        if len(self.words) > CACHE_ENTRIES:
-            self.older, self.words = self.words, {}
+        if self.cache_bytes > CACHE_BYTES:
+            self.cache, self.cache_bytes = {}, 0
+        if self.word_bytes > CACHE_BYTES:
+            self.older, self.words, self.word_bytes = self.words, {}, 0
         known, older = self.words, self.older
         letters, marked, others = {}, [], {}
         for word in set().union(*(words for _, words in waiting)):
@@ -271,6 +276,7 @@ class Ranks:
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
+                self.word_bytes += ENTRY_BYTES + 5 * len(word)
                 continue
             # Letters are one match, with a mark after them two; the rest is left to the pattern.
             base = word[:-1] if word[-1] in MARKS else word
@@ -291,6 +297,9 @@ class Ranks:
         self.learn(new, [p.encode() for p in new], cache)
         for word, parts in others.items():
             known[word] = b"".join(map(cache.__getitem__, parts))
+        fresh = len(letters) + len(marked) + len(others)
+        self.word_bytes += ENTRY_BYTES * fresh + 5 * sum(map(len, itertools.chain(letters, marked, others)))
+        self.cache_bytes += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
         first_ids, word_ids = cache.__getitem__, known.__getitem__
         for first, words in waiting:
             yield b"".join(map(first_ids, first)) + b"".join(map(word_ids, words))
@@ -347,6 +356,35 @@ class BytePairs:
 
         return encode(text)
 
+    def _encode_and_decode(self, text: Column | str, kind: str, keep) -> Column:
+        """``struct<ids, ...>`` with what ``keep`` makes of each text and its decoded ids.
+
+        One function, so that a text is encoded once; it is decoded by itself, so that ids and bytes of a
+        batch aren't held twice."""
+        vocabulary, pattern = self._vocabulary, self._pattern
+
+        @F.arrow_udf(f"ids array<int>, {kind}")
+        def both(texts: pa.Array) -> pa.Array:
+            table = _table(vocabulary, pattern)
+            token = table.token.__getitem__
+            ids, offsets, kept = bytearray(), [0], []
+            for own, text in zip(table.encode_all(t.as_py() for t in texts), texts, strict=True):
+                ids += own
+                offsets.append(len(ids) // 4)
+                kept.append(keep(text, b"".join(map(token, np.frombuffer(own, np.int32).tolist()))))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            return pa.StructArray.from_arrays([lists, pa.array(kept, pa.bool_() if kind.endswith("boolean") else pa.binary())], ["ids", kind.split()[0]])
+
+        return both(text)
+
+    def encode_checked(self, text: Column | str) -> Column:
+        """``struct<ids: array<int>, round_trip: boolean>``: token ids, and whether they decode to the text's bytes."""
+        return self._encode_and_decode(text, "round_trip boolean", lambda text, decoded: decoded == (text.as_py() or "").encode())
+
+    def encode_decoded(self, text: Column | str) -> Column:
+        """``struct<ids: array<int>, decoded: binary>``: token ids, and the bytes that they decode to."""
+        return self._encode_and_decode(text, "decoded binary", lambda _, decoded: decoded)
+
     def decode(self, ids: Column | str) -> Column:
         """The bytes of token ids; a null array gives no bytes. An id outside the vocabulary, or a null one, fails."""
         vocabulary, pattern = self._vocabulary, self._pattern

@@ -46,8 +46,8 @@ def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = BytePairs(
         spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )
-    encoded = table(spark, sf_dir, "documents").select("doc_id", codec.encode("text").alias("ids"))
-    return encoded.select("doc_id", "ids", codec.decode("ids").alias("decoded")).select(
+    encoded = table(spark, sf_dir, "documents").select("doc_id", codec.encode_decoded("text").alias("both"))
+    return encoded.select("doc_id", "both.ids", "both.decoded").select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
