@@ -3,10 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline
-import numpy as np
 import public_tokenizers
 import tiktoken
-from test_simhash import near_pairs, plain_fingerprint, groups
+from test_near_copies import plain_links
+from test_simhash import groups
 from vigilog.llm.byte_pairs import Ranks
 from vigilog.llm.mixing import mix
 from vigilog.llm.secrets import REDACTED
@@ -89,9 +89,7 @@ def test_whole_pipeline(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
         seen[name] = docs.collect()
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in seen["language"]}
-    ids = sorted(prints)
-    parts = groups([(ids[ids.index(a)], b) for a in ids for b in ids if a <= b and (prints[a] ^ prints[b]).bit_count() <= 4])
+    parts = groups(plain_links({r.doc_id: r.text for r in seen["language"]}))
     assert {r.doc_id for r in seen["near_dedup"]} == {min(p) for p in parts.values()}
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
         table = Ranks(file.read(), public_tokenizers.PATTERN).rank
