@@ -412,7 +412,9 @@ class Repair:
 
     def _chosen(self) -> DataFrame:
         """Letters by stretch, as ``CHOSEN``."""
-        dealt = self.faults.select("conv_id", "part", "place", "code").repartition("part").sortWithinPartitions("part", "place")
+        # So many tasks as the session has for a shuffle: the search is work, however few bytes its rows have.
+        tasks = int(self.faults.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.faults.select("conv_id", "part", "place", "code").repartition(tasks, "part").sortWithinPartitions("part", "place")
         found = materialise(dealt.mapInArrow(_stretches, STRETCH), "repair-stretches")
         several = found.filter("open").groupBy("conv_id").applyInPandas(_chosen, CHOSEN)
         return found.filter("NOT open").select("conv_id", "part", "first", "rows", "audit").unionByName(several)
