@@ -76,12 +76,16 @@ def context_counts(rows: DataFrame) -> DataFrame:
 class ContextModel:
     """Frozen statistics as tables: ``state`` of the last ``ORDER`` bytes, and ``cost[state, byte]``."""
 
-    def __init__(self, counts: list[tuple[str, int, int]]):
-        self.languages = sorted({lang for lang, _, _ in counts})
+    def __init__(self, counts: pa.Table | list[tuple[str, int, int]]):
+        """``counts`` are ``lang, window, n``, as a table or as rows."""
+        if isinstance(counts, list):
+            counts = pa.table(dict(zip(("lang", "window", "n"), map(list, zip(*counts, strict=True)), strict=True)))
+        names = counts["lang"].combine_chunks().dictionary_encode()
+        self.languages = sorted(names.dictionary.to_pylist())
         number = {lang: i for i, lang in enumerate(self.languages)}
-        lang = np.array([number[x] for x, _, _ in counts], np.int64)
-        window = np.array([x for _, x, _ in counts], np.int64)
-        n = np.array([x for _, _, x in counts], np.float64)
+        lang = np.array([number[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+        window = counts["window"].to_numpy()
+        n = counts["n"].to_numpy().astype(np.float64)
         # Bytes that training never saw are one class: nothing tells them apart.
         seen = np.unique(np.concatenate([[START], *((window >> (8 * k)) & 255 for k in range(ORDER + 1))]))
         self.symbol = np.full(256, len(seen), np.uint8)
@@ -152,8 +156,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> ContextModel
     run of ``ORDER + 1`` bytes of ``per_language`` documents.
     """
     rows = context_counts(training_rows(docs, per_language)).toArrow()
-    columns = [rows.column(c).to_pylist() for c in ("lang", "window", "n")]
-    return ContextModel(list(zip(*columns, strict=True))) if rows.num_rows else None
+    return ContextModel(rows) if rows.num_rows else None
 
 
 def identify(docs: DataFrame, model: ContextModel | None, text: str = "text") -> Column:
