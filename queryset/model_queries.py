@@ -1,9 +1,10 @@
-"""Queries that train and apply the isolation forest. They have no SQL equivalent."""
+"""Queries that train and apply the isolation forest. Their oracles grow the same forest in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigilog.functions import fixed_values as fv
 from vigilog.operators import cross_validation, evaluation, forest, importance, labels
 from vigilog.plans import line_plan, session_plan
 from vigilog.plans.session_plan import BGL, HDFS, THUNDERBIRD
@@ -12,7 +13,9 @@ from vigilog.sources.shared import new_path
 
 from . import logs
 from .registry import query
-from .sql import sql
+from .forest_sql import forest as forest_sql
+from .forest_sql import order_key
+from .sql import QUALITY, QUALITY_ROUNDED, cells, cte, num, sql, threat
 
 
 def _kind_lines(spark, sf_dir, kind):
@@ -26,7 +29,27 @@ def _sessions(spark, sf_dir, kind):
     return session_plan.build_sessions(kind, *_kind_lines(spark, sf_dir, kind))
 
 
-@query("iforest_trees")
+# --- the forests in SQL -----------------------------------------------------------------
+_KINDS = {"hdfs": (HDFS, "hdfs_scored"), "bgl": (BGL, "bgl_scored"), "thunderbird": (THUNDERBIRD, "thunderbird_scored")}
+for _name, (_kind, _table) in _KINDS.items():
+    forest_sql(f"{_name}_forest", _table, _kind.key, _kind.features)
+    # The stand-in score goes, the forest's comes.
+    cte(
+        f"{_name}_judged",
+        f"""SELECT * EXCLUDE (anomaly_score), {num(1.0)} - (raw_score - min(raw_score) OVER ())
+          / (max(raw_score) OVER () - min(raw_score) OVER () + {num(1e-9)}) AS anomaly_score FROM {_name}_forest_scores""",
+        f"{_name}_forest_scores", keep=True,
+    )
+
+
+@query(
+    "iforest_trees",
+    sql(
+        """SELECT CAST(tree AS INTEGER) AS tree, count(*) AS nodes, max(depth) AS depth, CAST(max(size) AS INTEGER) AS sample,
+          CAST(sum(size) FILTER (feature IS NULL) AS BIGINT) AS rows_in_leaves FROM bgl_forest_nodes GROUP BY tree""",
+        "bgl_forest_nodes",
+    ),
+)
 def iforest_trees(spark, sf_dir):
     """Nodes per tree of a forest trained on normal windows."""
     table = _sessions(spark, sf_dir, BGL)
@@ -39,14 +62,24 @@ def iforest_trees(spark, sf_dir):
     )
 
 
-@query("iforest_scores")
+@query(
+    "iforest_scores",
+    sql("SELECT node, win_no, label, round(raw_score, 9) AS raw_score FROM bgl_forest_scores", "bgl_forest_scores"),
+)
 def iforest_scores(spark, sf_dir):
     table = _sessions(spark, sf_dir, BGL)
     model = forest.fit(table, BGL.features, BGL.key)
-    return forest.score(table, model).select("node", "win_no", "label", "raw_score")
+    return forest.score(table, model).select("node", "win_no", "label", F.round("raw_score", 9).alias("raw_score"))
 
 
-@query("model_roundtrip")
+@query(
+    "model_roundtrip",
+    sql(
+        """SELECT node, win_no, round(raw_score, 9) AS raw_score, round(raw_score, 9) AS reloaded_score
+        FROM thunderbird_forest_scores""",
+        "thunderbird_forest_scores",
+    ),
+)
 def model_roundtrip(spark, sf_dir):
     """Scores of a saved and reloaded model next to those of the original."""
     table = _sessions(spark, sf_dir, THUNDERBIRD)
@@ -54,18 +87,29 @@ def model_roundtrip(spark, sf_dir):
     path = new_path(spark, "model")
     save_model(model, path)
     both = forest.score(forest.score(table, model), load_model(spark, path), "reloaded_score")
-    return both.select("node", "win_no", "raw_score", "reloaded_score")
+    return both.select("node", "win_no", *[F.round(c, 9).alias(c) for c in ("raw_score", "reloaded_score")])
 
 
-def _detection(name: str, kind) -> None:
-    @query(name)
+def _detection(name: str, kind, table: str) -> None:
+    mix = threat("rule_score", "anomaly_score", kind.alpha)
+    preds = (
+        ("Rule Only", "CAST(rule_score > 0 AS INTEGER)"),
+        ("Isolation Forest Only", f"CAST(anomaly_score >= {num(kind.cut)} AS INTEGER)"),
+        ("Hybrid (Rule + IF)", f"CAST({mix} >= {num(kind.cut)} AS INTEGER)"),
+    )
+    oracle = " UNION ALL ".join(
+        f"SELECT '{m}' AS method, tp, fp, tn, fn, {QUALITY_ROUNDED} FROM (SELECT {cells('label', p)} FROM {table})"
+        for m, p in preds
+    )
+
+    @query(name, sql(oracle, table))
     def run(spark, sf_dir):
         return session_plan.detect_sessions(kind, *_kind_lines(spark, sf_dir, kind)).ablation
 
 
-_detection("detect_hdfs", HDFS)
-_detection("detect_bgl", BGL)
-_detection("detect_thunderbird", THUNDERBIRD)
+_detection("detect_hdfs", HDFS, "hdfs_judged")
+_detection("detect_bgl", BGL, "bgl_judged")
+_detection("detect_thunderbird", THUNDERBIRD, "thunderbird_judged")
 
 
 @query("detect_lines")
@@ -79,7 +123,42 @@ def detect_lines_ablation(spark, sf_dir):
     return line_plan.detect_lines(logs.all_logs(spark, sf_dir)).ablation
 
 
-@query("cross_validate")
+cte(
+    "bgl_folds",
+    f"""SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {order_key(str(fv.SEED), 'node', 'win_no')}, node, win_no) - 1)
+      % 5 AS INTEGER) AS fold FROM bgl_scored""",
+    "bgl_scored", keep=True,
+)
+forest_sql("folds_forest", "bgl_folds", BGL.key, BGL.features, folds=5)
+
+
+@query(
+    "fold_of_session",
+    sql("SELECT node, win_no, label, fold FROM bgl_folds", "bgl_folds"),
+)
+def fold_of_session(spark, sf_dir):
+    """The fold of every window."""
+    table = _sessions(spark, sf_dir, BGL).select("node", "win_no", "label")
+    return evaluation.stratified_folds(table, BGL.key)
+
+
+_FOLD_MIX = threat("rule_score", "score", BGL.alpha)
+
+
+@query(
+    "cross_validate",
+    sql(
+        f"""SELECT count(*) AS folds, round(avg(f1), 4) AS f1_mean, round(stddev_samp(f1), 4) AS f1_std,
+          round(avg(precision), 4) AS p_mean, round(stddev_samp(precision), 4) AS p_std,
+          round(avg(recall), 4) AS r_mean, round(stddev_samp(recall), 4) AS r_std,
+          round(avg(fpr), 4) AS fpr_mean, round(stddev_samp(fpr), 4) AS fpr_std
+        FROM (SELECT {QUALITY} FROM (SELECT fold, {cells('label', f"CAST({_FOLD_MIX} >= {num(BGL.cut)} AS INTEGER)")}
+          FROM (SELECT fold, label, rule_score, {num(1.0)} - (raw_score - min(raw_score) OVER f)
+              / (max(raw_score) OVER f - min(raw_score) OVER f + {num(1e-9)}) AS score
+            FROM folds_forest_scores WINDOW f AS (PARTITION BY fold)) GROUP BY fold))""",
+        "folds_forest_scores",
+    ),
+)
 def cross_validate(spark, sf_dir):
     table = _sessions(spark, sf_dir, BGL)
     folds = cross_validation.cross_validate(table, BGL.features, BGL.key, BGL.alpha, BGL.cut)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from vigilog.functions import fixed_values as fv
 
 from .derived import BLOCK, BLOCK_ANOMALY_VALUE, duck_line
@@ -130,10 +132,14 @@ def _hdfs_case(anomaly: str, values: list[str], unknown: str) -> str:
 
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
+#: Expressions that are read several times and costly to make.
+KEPT: set[str] = set()
 
 
-def cte(name: str, body: str, *needs: str) -> None:
+def cte(name: str, body: str, *needs: str, keep: bool = False) -> None:
     CTES[name] = (body, needs)
+    if keep:
+        KEPT.add(name)
 
 
 def sql(select: str, *needs: str) -> str:
@@ -150,7 +156,9 @@ def sql(select: str, *needs: str) -> str:
         visit(need)
     if not ordered:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in ordered) + "\n" + select
+    recursive = any(re.search(rf"\b{n}\b", CTES[n][0]) for n in ordered)
+    parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({CTES[n][0]})" for n in ordered)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{select}"
 
 
 for _kind in ("ssh", "apache", "linux", "hdfs", "bgl", "thunderbird"):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import ratio, threat
+from .forest import HASH_DIGITS, order_key
 from .ordinals import dense_ordinal
 
 FOLD_BUCKETS = 4096
@@ -179,17 +180,14 @@ def grid_tune(
 def stratified_folds(df: DataFrame, key: Sequence[str], folds: int = 5, seed: int = fv.SEED) -> DataFrame:
     """Add ``fold``: the rows of each label are dealt to the folds in hashed order.
 
-    The fold sizes of a label differ by one at most. A label is ranked in hash ranges, so a
-    frequent label does not meet in one task.
+    The order is that of an md5 of seed and key, so any engine finds the same folds. The fold sizes of a
+    label differ by one at most. A label is ranked in hash ranges, so a frequent label does not meet in one
+    task.
     """
-    hashed = df.withColumn("__hash", F.xxhash64(F.lit(seed), *key))
-    bucket = F.floor(F.shiftrightunsigned("__hash", 1) / F.lit(2.0**63 / FOLD_BUCKETS))
-    # The unsigned shift orders hashes like the bucket does.
-    hashed = hashed.withColumn("__order", F.shiftrightunsigned("__hash", 1))
+    hashed = df.withColumn("__order", order_key(F.lit(seed), *map(F.col, key)))
+    bucket = F.floor(F.col("__order") / F.lit(16.0**HASH_DIGITS / FOLD_BUCKETS))
     placed = dense_ordinal(hashed, ["label"], bucket, ["__order", *key], out="__place")
-    return placed.withColumn("fold", F.pmod("__place", F.lit(folds)).cast("int")).drop(
-        "__hash", "__order", "__place"
-    )
+    return placed.withColumn("fold", F.pmod("__place", F.lit(folds)).cast("int")).drop("__order", "__place")
 
 
 def fold_metrics(df: DataFrame, alpha: float, cut: float) -> DataFrame:

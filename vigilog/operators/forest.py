@@ -5,10 +5,15 @@ Liu, Ting, Zhou: Isolation Forest, ICDM 2008. A model is two small tables, ``for
 
 A training table has a unique ``key`` (one or more columns) and numeric features. With a
 ``fold`` column, one job trains a forest per fold.
+
+Nothing is drawn from a generator: which rows a tree samples, which feature a node splits and where
+follow from md5 sums of the seed, the fold, the tree and the row or node. So a forest depends on its
+table alone, and any engine that has md5 can repeat it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -25,6 +30,9 @@ NODE_SCHEMA = (
     " size int, depth int"
 )
 
+#: Hexadecimal digits of an md5 sum that are used: 52 bits, which a double holds.
+HASH_DIGITS = 13
+
 
 @dataclass(frozen=True)
 class Model:
@@ -94,8 +102,8 @@ def sample_trees(
 
     One law at every size: a row is drawn for each tree independently, with the share that gives a
     few rows more than needed, and the smallest hashes win, so every tree gets exactly ``psi`` rows.
-    The trees of a row come from one uniform number: it tells, by the distribution of the first
-    hit, the first tree that draws the row; the next number the next tree. So a row costs as many
+    The trees of a row come from uniform numbers: one tells, by the distribution of the first
+    hit, the first tree that draws the row, another the next tree. So a row costs as many
     hashes as it has hits, and what is shuffled does not grow with the table.
     """
     sizes = {r["fold"]: r["n"] for r in df.groupBy("fold").agg(F.count("*").alias("n")).collect()}
@@ -127,7 +135,7 @@ def sample_trees(
 def _next_tree(after: Column, share: float, key: Sequence[str], seed: int) -> Column:
     """The next tree that draws the row: a geometric jump, one hash for each."""
     u = _unit_hash(key, F.lit(seed), F.lit("jump"), after)
-    jump = F.floor(F.log1p(-u) / F.lit(math.log1p(-share)))
+    jump = F.floor(F.log(1 - u) / F.lit(math.log(1 - share)))
     return (after + 1 + F.least(jump, F.lit(1 << 40))).cast("bigint")
 
 
@@ -144,8 +152,20 @@ def _drawn(share: float, trees: int, key: Sequence[str], seed: int) -> Column:
     return F.filter(found, lambda tree: tree < trees)
 
 
+def order_key(*parts: Column) -> Column:
+    """The first 52 bits of the md5 of values as text, joined by bars: an integer to order or draw by."""
+    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("bigint")
+
+
 def _unit_hash(key: Sequence[str], *more: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*more, *key), 11) / F.lit(2.0**53)
+    return order_key(*more, *map(F.col, key)) / F.lit(float(16**HASH_DIGITS))
+
+
+def unit(*parts: object) -> float:
+    """The same for values in Python: a number in [0, 1)."""
+    text = "|".join(map(str, parts)).encode()
+    return int(hashlib.md5(text, usedforsecurity=False).hexdigest()[:HASH_DIGITS], 16) / 16**HASH_DIGITS
 
 
 def _tree_builder(features: list[str], seed: int):
@@ -160,7 +180,6 @@ def _tree_builder(features: list[str], seed: int):
         sample = sample.sort_values("rank")
         fold, tree = int(sample["fold"].iloc[0]), int(sample["tree"].iloc[0])
         x = sample[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, fold + 1, tree])
         limit = max(1, math.ceil(math.log2(max(len(x), 2))))
         nodes, todo = [], [(0, 0, np.arange(len(x)))]
         while todo:
@@ -171,8 +190,8 @@ def _tree_builder(features: list[str], seed: int):
             if depth >= limit or len(rows) <= 1 or not len(varying):
                 nodes.append((fold, tree, node, -1, 0.0, -1, -1, len(rows), depth))
                 continue
-            feature = int(rng.choice(varying))
-            cut = float(rng.uniform(low[feature], high[feature]))
+            feature = int(varying[int(unit(seed, fold, tree, node, "feature") * len(varying))])
+            cut = float(low[feature] + unit(seed, fold, tree, node, "cut") * (high[feature] - low[feature]))
             cut = cut if cut < high[feature] else float(low[feature])
             left = part[:, feature] <= cut
             nodes.append((fold, tree, node, feature, cut, 2 * node + 1, 2 * node + 2, len(rows), depth))
