@@ -92,19 +92,62 @@ def forest(
         f"{name}_grow", keep=True,
     )
     cte(f"{name}_vectors", f"SELECT *, row_number() OVER () AS id FROM (SELECT DISTINCT forest AS f, xs FROM {name}_rows)", f"{name}_rows", keep=True)
+    scored(name, f"{name}_vectors", f"{name}_points", trees, psi)
     cte(
-        f"{name}_walk",
-        f"""SELECT f, id, xs, CAST(tree AS BIGINT) AS tree, 0::BIGINT AS node FROM {name}_vectors, range({trees}) t(tree)
-        UNION ALL SELECT w.f, w.id, w.xs, w.tree, 2 * w.node + 1 + CAST(w.xs[n.feature + 1] > n.cut AS BIGINT)
-        FROM {name}_walk w JOIN {name}_nodes n ON w.f = n.f AND w.tree = n.tree AND w.node = n.node WHERE n.feature IS NOT NULL""",
-        f"{name}_vectors", f"{name}_nodes", keep=True,
+        f"{name}_scores",
+        f"SELECT r.*, p.raw_score FROM {name}_rows r JOIN {name}_vectors v ON r.forest = v.f AND r.xs = v.xs JOIN {name}_points p USING (id)",
+        f"{name}_rows", f"{name}_vectors", f"{name}_points", keep=True,
     )
+
+
+def scored(name: str, vectors: str, out: str, trees: int, psi: int = fv.TREE_SAMPLE) -> None:
+    """Expression ``out``: ``id, raw_score`` of the vectors ``id, f, xs`` under the forest ``name``.
+
+    One join per level, so that no level is held; a row that has reached its leaf stays there."""
+    walk = f"SELECT f, id, xs, tree, 0::BIGINT AS node FROM {vectors}, range({trees}) t(tree)"
+    for _ in range((psi - 1).bit_length()):
+        walk = (
+            "SELECT w.f, w.id, w.xs, w.tree, CASE WHEN n.feature IS NULL THEN w.node ELSE 2 * w.node + 1 + CAST(w.xs[n.feature + 1] > n.cut AS BIGINT) END AS node"
+            f" FROM ({walk}) w JOIN {name}_nodes n ON w.f = n.f AND w.tree = n.tree AND w.node = n.node"
+        )
     cte(
-        f"{name}_scores",
-        f"""SELECT r.*, v.raw_score FROM {name}_rows r JOIN (
-          SELECT w.f, any_value(w.xs) AS xs, -pow({num(2.0)}, -(sum(n.depth + {_length('n.size')} ORDER BY w.tree) / {trees} / any_value(norm))) AS raw_score
-          FROM {name}_walk w JOIN {name}_nodes n ON w.f = n.f AND w.tree = n.tree AND w.node = n.node AND n.feature IS NULL
-          JOIN (SELECT f, {_length('max(size)')} AS norm FROM {name}_nodes WHERE node = 0 GROUP BY f) z ON z.f = w.f GROUP BY w.f, w.id) v
-        ON r.forest = v.f AND r.xs = v.xs""",
-        f"{name}_rows", f"{name}_walk", f"{name}_nodes", keep=True,
+        out,
+        f"""SELECT w.id, -pow({num(2.0)}, -(sum(n.depth + {_length('n.size')}) / {trees} / any_value(z.norm))) AS raw_score
+        FROM ({walk}) w JOIN {name}_nodes n ON w.f = n.f AND w.tree = n.tree AND w.node = n.node
+        JOIN (SELECT f, {_length('max(size)')} AS norm FROM {name}_nodes WHERE node = 0 GROUP BY f) z ON z.f = w.f GROUP BY w.id""",
+        vectors, f"{name}_nodes", keep=True,
+    )
+
+
+def importance(name: str, key: Sequence[str], features: Sequence[str], trees: int = fv.SESSION_TREES, seed: int = fv.SEED) -> None:
+    """Expression ``{name}_importance``: change of the mean score when a feature comes from the next row by hash."""
+    keys = ", ".join(key)
+    order = f"ORDER BY {order_key(str(seed), repr('shuffle'), 'k')}, {keys}"
+    cte(
+        f"{name}_pairs",
+        f"""SELECT xs, coalesce(lead(xs) OVER ({order}), first_value(xs) OVER ({order} ROWS UNBOUNDED PRECEDING)) AS other
+        FROM {name}_rows""",
+        f"{name}_rows", keep=True,
+    )
+    replaced = ", ".join(f"CASE WHEN j = {j} THEN other[{j + 1}] ELSE xs[{j + 1}] END" for j in range(len(features)))
+    cte(
+        f"{name}_copies",
+        f"SELECT j, [{replaced}] AS xs, count(*) AS n FROM {name}_pairs, range(-1, {len(features)}) t(j) GROUP BY ALL",
+        f"{name}_pairs", keep=True,
+    )
+    cte(f"{name}_changed", f"SELECT 0 AS f, xs, row_number() OVER () AS id FROM (SELECT DISTINCT xs FROM {name}_copies)", f"{name}_copies", keep=True)
+    scored(name, f"{name}_changed", f"{name}_changed_points", trees)
+    cte(
+        f"{name}_means",
+        f"""SELECT j, sum(n * raw_score) / sum(n) AS s FROM {name}_copies JOIN {name}_changed USING (xs)
+        JOIN {name}_changed_points USING (id) GROUP BY j""",
+        f"{name}_copies", f"{name}_changed", f"{name}_changed_points", keep=True,
+    )
+    names = ", ".join(f"'{f}'" for f in features)
+    change = f"abs((SELECT s FROM {name}_means WHERE j = -1) - s)"
+    cte(
+        f"{name}_importance",
+        f"""SELECT [{names}][j + 1] AS feature, round({change} / (sum({change}) OVER () + {num(1e-9)}), 6) AS importance
+        FROM {name}_means WHERE j >= 0""",
+        f"{name}_means",
     )

@@ -14,6 +14,7 @@ from vigilog.sources.shared import new_path
 from . import logs
 from .registry import query
 from .forest_sql import forest as forest_sql
+from .forest_sql import importance as importance_sql
 from .forest_sql import order_key
 from .sql import QUALITY, QUALITY_ROUNDED, cells, cte, num, sql, threat
 
@@ -165,18 +166,27 @@ def cross_validate(spark, sf_dir):
     return evaluation.cv_summary(folds)
 
 
-@query("permutation_importance")
+importance_sql("hdfs_forest", HDFS.key, HDFS.features)
+importance_sql("bgl_forest", BGL.key, BGL.features)
+
+
+def _importance(spark, sf_dir, kind):
+    table = _sessions(spark, sf_dir, kind)
+    model = forest.fit(table, kind.features, kind.key)
+    return importance.permutation_importance(table, model, kind.key)
+
+
+@query("permutation_importance", sql("SELECT * FROM hdfs_forest_importance", "hdfs_forest_importance"))
 def permutation_importance(spark, sf_dir):
-    table = _sessions(spark, sf_dir, HDFS)
-    model = forest.fit(table, HDFS.features, HDFS.key)
-    return importance.permutation_importance(table, model, HDFS.key)
+    return _importance(spark, sf_dir, HDFS).select("feature", F.round("importance", 6).alias("importance"))
 
 
-@query("top_features")
+@query(
+    "top_features",
+    sql("SELECT * FROM bgl_forest_importance ORDER BY importance DESC, feature LIMIT 15", "bgl_forest_importance"),
+)
 def top_features(spark, sf_dir):
-    table = _sessions(spark, sf_dir, BGL)
-    model = forest.fit(table, BGL.features, BGL.key)
-    return importance.top_features(importance.permutation_importance(table, model, BGL.key))
+    return importance.top_features(_importance(spark, sf_dir, BGL)).select("feature", F.round("importance", 6).alias("importance"))
 
 
 @query(

@@ -288,38 +288,51 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n
 
 
-def score_column(nodes: DataFrame, features: Sequence[str], fold: Column | None = None) -> Column:
-    """Raw score of scaled rows, in [-1, 0]; lower is more anomalous.
+def scorer(nodes: DataFrame):
+    """A function of a fold's number and a matrix of scaled rows that gives their raw scores.
 
-    Rows come in Arrow batches. Equal rows of a batch are scored once: log features repeat a
-    lot. The forest travels with the function; its size is bounded by trees and sample size.
+    Equal rows are scored once: log features repeat a lot. The forest travels with the function; its
+    size is bounded by trees and sample size.
     """
     forests = _forest_arrays(nodes)
 
+    def score(number, x):
+        import numpy as np
+
+        depth, feature, cut, length, norm = forests[number]
+        rows = np.ascontiguousarray(x)
+        packed = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+        _, first, back = np.unique(packed, return_index=True, return_inverse=True)
+        rows = rows[first]
+        at = np.arange(len(rows))
+        total = np.zeros(len(rows))
+        for t in range(len(feature)):
+            place = np.zeros(len(rows), dtype=np.int32)
+            for _ in range(depth):
+                right = rows[at, feature[t, place]] > cut[t, place]
+                place = 2 * place + 1 + right
+            total += length[t, place - (2**depth - 1)]
+        return -np.exp2(-total / len(feature) / norm)[back.ravel()]
+
+    score.folds = list(forests)
+    return score
+
+
+def score_column(nodes: DataFrame, features: Sequence[str], fold: Column | None = None) -> Column:
+    """Raw score of scaled rows, in [-1, 0]; lower is more anomalous. Rows come in Arrow batches."""
+    of = scorer(nodes)
+
     def score(batch: pd.DataFrame) -> pd.Series:
         import numpy as np
         import pandas as pd
 
-        folds = batch["fold"]
+        folds = batch["fold"].to_numpy()
         x = batch.drop(columns="fold").to_numpy(dtype=float)
         out = np.zeros(len(x))
-        for number, (depth, feature, cut, length, norm) in forests.items():
-            mine = np.flatnonzero(folds.to_numpy() == number)
-            if not len(mine):
-                continue
-            rows = np.ascontiguousarray(x[mine])
-            packed = rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
-            _, first, back = np.unique(packed, return_index=True, return_inverse=True)
-            rows = rows[first]
-            at = np.arange(len(rows))
-            total = np.zeros(len(rows))
-            for t in range(len(feature)):
-                place = np.zeros(len(rows), dtype=np.int32)
-                for _ in range(depth):
-                    right = rows[at, feature[t, place]] > cut[t, place]
-                    place = 2 * place + 1 + right
-                total += length[t, place - (2**depth - 1)]
-            out[mine] = -np.exp2(-total / len(feature) / norm)[back.ravel()]
+        for number in of.folds:
+            mine = np.flatnonzero(folds == number)
+            if len(mine):
+                out[mine] = of(number, x[mine])
         return pd.Series(out)
 
     number = F.lit(0) if fold is None else fold

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..sources.shared import materialise
-from .forest import Model, scale, score_column
-from .ordinals import dense_ordinal
+from .forest import HASH_DIGITS, Model, order_key, scale, scorer
 
-
-# Leading hash bits that spread the ranking of a shuffled column over tasks.
-HASH_BUCKET_BITS = 10
+#: Rows that are put in order together, about.
+BUCKET_ROWS = 32_768
 
 
 def permutation_importance(
@@ -22,37 +21,37 @@ def permutation_importance(
     model: Model,
     key: Sequence[str],
     seed: int = fv.SEED,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Change of the mean score when one feature is shuffled: ``feature``, ``importance``.
 
-    All rows count. A feature is shuffled by matching the rows' order under one hash with their
-    order under another; orders are dense positions ranked inside hash ranges, so no task sees a
-    whole column. The original and all shuffled copies are then scored in one pass.
+    All rows count. Rows are put in a circle by an md5 of their key, and a feature is shuffled by taking
+    it from the next row of the circle: a random permutation without fixed points, the same for each
+    feature, which is scored by itself. So a row meets one other row, whatever the number of
+    features, and columns are neither ranked nor unfolded. The circle is cut into buckets of hashes; the
+    last row of a bucket takes the first of the next.
     """
     features = list(model.features)
     scaled = scale(df.select(*dict.fromkeys([*key, *features])), model.scaler, features)
-    numbered = _by_hash(scaled.withColumn("j", F.lit(-1)), F.xxhash64(F.lit(seed), *key), [*key], "row")
-    rows = materialise(numbered.select("row", *features), "importance")
-    values = rows.select(
-        "row",
-        F.posexplode(F.array(*features)).alias("j", "value"),
-    )
-    shuffled = _by_hash(
-        values.withColumnRenamed("row", "from"), F.xxhash64(F.lit(seed), "j", "from"), ["from"], "row"
-    ).select("j", "row", F.col("value").alias("other"))
-    copies = rows.join(shuffled, "row").select(
-        "j",
-        *[
-            F.when(F.col("j") == n, F.col("other")).otherwise(F.col(name)).alias(name)
-            for n, name in enumerate(features)
-        ],
+    buckets = max(1, df.count() // bucket_rows)
+    hashed = scaled.withColumn("__at", order_key(F.lit(seed), F.lit("shuffle"), *map(F.col, key)))
+    hashed = hashed.withColumn("__bucket", F.floor(F.col("__at") / F.lit(16.0**HASH_DIGITS / buckets)).cast("int"))
+    own = F.struct(*features)
+    rows = materialise(
+        hashed.select("__bucket", F.struct("__at", *key).alias("__order"), own.alias("__own")), "importance"
     )
-    everything = copies.unionByName(rows.select(F.lit(-1).alias("j"), *features))
-    means = (
-        everything.select("j", score_column(model.nodes, features).alias("s"))
-        .groupBy("j")
-        .agg(F.avg("s").alias("s"))
+    # One row per bucket.
+    firsts = rows.groupBy("__bucket").agg(F.min_by("__own", "__order").alias("__first"))
+    firsts = firsts.select(F.pmod(F.col("__bucket") - 1, F.lit(buckets)).cast("int").alias("__bucket"), "__first")
+    circle = Window.partitionBy("__bucket").orderBy("__order")
+    paired = rows.withColumn("__next", F.lead("__own").over(circle)).join(firsts, "__bucket")
+    paired = paired.select("__own", F.coalesce("__next", "__first").alias("__other"))
+    flat = paired.select(
+        *[F.col(f"__own.{name}").alias(f"own{n}") for n, name in enumerate(features)],
+        *[F.col(f"__other.{name}").alias(f"other{n}") for n, name in enumerate(features)],
     )
+    means = flat.mapInPandas(_sums(model, len(features)), "j int, s double, n bigint")
+    means = means.groupBy("j").agg((F.sum("s") / F.sum("n")).alias("s"))
     means = materialise(means, "importance-means")  # a row per feature
     base = means.filter("j = -1").select("s").scalar()
     change = means.filter("j >= 0").select("j", F.abs(base - F.col("s")).alias("change"))
@@ -63,11 +62,22 @@ def permutation_importance(
     )
 
 
-def _by_hash(df: DataFrame, hashed: Column, ties: list[str], out: str) -> DataFrame:
-    """A dense position inside each ``j`` by a hash."""
-    bucket = F.shiftright("__hash", 64 - HASH_BUCKET_BITS)
-    placed = dense_ordinal(df.withColumn("__hash", hashed), ["j"], bucket, ["__hash", *ties], out=out)
-    return placed.drop("__hash")
+def _sums(model: Model, features: int):
+    """Sums of scores of a batch: as it is (-1) and with each feature from the other row."""
+    score = scorer(model.nodes)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch.to_numpy(dtype=float)
+            own, other = values[:, :features], values[:, features:]
+            found = [(-1, score(0, own).sum(), len(own))]
+            for j in range(features):
+                changed = own.copy()
+                changed[:, j] = other[:, j]
+                found.append((j, score(0, changed).sum(), len(own)))
+            yield pd.DataFrame(found, columns=["j", "s", "n"])
+
+    return sums
 
 
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
