@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vigilog.functions import fixed_values as fv
 from vigilog.operators import cross_validation, evaluation, forest, importance, labels
+from vigilog.operators.fusion import HYBRID_COLUMNS
+from vigilog.operators.line_features import COMBINED_FEATURES
 from vigilog.plans import line_plan, session_plan
 from vigilog.plans.session_plan import BGL, HDFS, THUNDERBIRD
 from vigilog.sources.models import load_model, save_model
@@ -16,7 +18,8 @@ from .registry import query
 from .forest_sql import forest as forest_sql
 from .forest_sql import importance as importance_sql
 from .forest_sql import order_key
-from .sql import QUALITY, QUALITY_ROUNDED, cells, cte, num, sql, threat
+from .sql import QUALITY, QUALITY_ROUNDED, cells, cte, line_ablation, num, sql, threat
+from .sql import fusion as fusion_sql
 
 
 def _kind_lines(spark, sf_dir, kind):
@@ -113,13 +116,34 @@ _detection("detect_bgl", BGL, "bgl_judged")
 _detection("detect_thunderbird", THUNDERBIRD, "thunderbird_judged")
 
 
-@query("detect_lines")
+forest_sql("lines_forest", "line_table", ["line_key"], COMBINED_FEATURES, trees=fv.LINE_TREES)
+# The cut lies between two neighbours in the order of the normal lines' scores, at the share of anomalous lines and a margin.
+cte(
+    "lines_cut",
+    """SELECT min(raw_score) FILTER (i = floor(place)) + (min(raw_score) FILTER (i = least(floor(place) + 1, n - 1))
+        - min(raw_score) FILTER (i = floor(place))) * (any_value(place) - floor(any_value(place))) AS cut
+    FROM (SELECT *, share * (n - 1) AS place FROM (
+      SELECT raw_score, row_number() OVER (ORDER BY raw_score) - 1 AS i, count(*) OVER () AS n FROM lines_forest_scores WHERE label = 0),
+      (SELECT least(0.5::DOUBLE, round(100 * sum(label) / count(*), 2) / 100 + 0.02::DOUBLE) AS share FROM all_logs))""",
+    "lines_forest_scores", "all_logs", keep=True,
+)
+cte(
+    "lines_judged",
+    """SELECT *, CASE WHEN low = high THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - (raw_score - low) / (high - low) END AS anomaly_score,
+      CAST(raw_score < (SELECT cut FROM lines_cut) AS INTEGER) AS if_pred
+    FROM (SELECT *, min(raw_score) OVER () AS low, max(raw_score) OVER () AS high FROM lines_forest_scores)""",
+    "lines_forest_scores", "lines_cut", keep=True,
+)
+fusion_sql("lines_", "lines_judged")
+
+
+@query("detect_lines", sql(f"SELECT {', '.join(HYBRID_COLUMNS)} FROM lines_hybrid", "lines_hybrid"))
 def detect_lines(spark, sf_dir):
     """The whole line job; its alerts."""
     return line_plan.detect_lines(logs.all_logs(spark, sf_dir)).hybrid_alerts
 
 
-@query("detect_lines_ablation")
+@query("detect_lines_ablation", sql(line_ablation("lines_predicted"), "lines_predicted"))
 def detect_lines_ablation(spark, sf_dir):
     return line_plan.detect_lines(logs.all_logs(spark, sf_dir)).ablation
 

@@ -452,33 +452,55 @@ cte(
       CAST(value > 60 AS INTEGER) AS if_pred FROM all_logs""",
     "all_logs",
 )
-cte(
-    "predicted",
-    """SELECT s.*, CAST(coalesce(s.ip IN (SELECT source_ip FROM alerts WHERE source_ip IS NOT NULL
-      AND source_ip <> ''), false) AS INTEGER) AS rule_pred FROM scored s""",
-    "scored", "alerts",
-)
-cte(
-    "fused_alerts",
-    f"""SELECT rule_ord, first_key, rule_id, rule_name, description, source_ip, count, sample_raw,
-      'Rule + AI' AS detection_method, {fused('a.rule_score', 'm.mean', fv.LINE_ALPHA)}
-    FROM alerts a CROSS JOIN (SELECT avg(anomaly_score) AS mean FROM scored) m""",
-    "alerts", "scored",
-)
-cte(
-    "ai_alerts",
-    f"""SELECT CAST(12 AS INTEGER) AS rule_ord, line_key AS first_key, 'AI-001' AS rule_id,
-      '{fv.AI_RULE[1]}' AS rule_name,
-      'Isolation Forest flagged ' || coalesce(nullif(ip, ''), 'unknown IP') || ' (event=' || event_type
-        || ', score=' || printf('%.3f', anomaly_score) || ')' AS description,
-      coalesce(nullif(ip, ''), 'unknown') AS source_ip, CAST(1 AS BIGINT) AS count,
-      substring(raw, 1, 120) AS sample_raw, 'Isolation Forest' AS detection_method,
-      {fused(num(0.0), 'anomaly_score', fv.LINE_ALPHA)}
-    FROM predicted WHERE if_pred = 1 AND rule_pred = 0 AND anomaly_score > {num(fv.AI_ONLY_CUT)}""",
-    "predicted",
-)
-cte("hybrid", "SELECT * FROM fused_alerts UNION ALL BY NAME SELECT * FROM ai_alerts",
-    "fused_alerts", "ai_alerts")
+
+
+def fusion(prefix: str, scored: str) -> None:
+    """Predictions and alerts of scored lines: ``{prefix}predicted``, ``fused_alerts``, ``ai_alerts``, ``hybrid``."""
+    cte(
+        f"{prefix}predicted",
+        f"""SELECT s.*, CAST(coalesce(s.ip IN (SELECT source_ip FROM alerts WHERE source_ip IS NOT NULL
+          AND source_ip <> ''), false) AS INTEGER) AS rule_pred FROM {scored} s""",
+        scored, "alerts",
+    )
+    cte(
+        f"{prefix}fused_alerts",
+        f"""SELECT rule_ord, first_key, rule_id, rule_name, description, source_ip, count, sample_raw,
+          'Rule + AI' AS detection_method, {fused('a.rule_score', 'm.mean', fv.LINE_ALPHA)}
+        FROM alerts a CROSS JOIN (SELECT avg(anomaly_score) AS mean FROM {scored}) m""",
+        "alerts", scored,
+    )
+    cte(
+        f"{prefix}ai_alerts",
+        f"""SELECT CAST(12 AS INTEGER) AS rule_ord, line_key AS first_key, 'AI-001' AS rule_id,
+          '{fv.AI_RULE[1]}' AS rule_name,
+          'Isolation Forest flagged ' || coalesce(nullif(ip, ''), 'unknown IP') || ' (event=' || event_type
+            || ', score=' || printf('%.3f', anomaly_score) || ')' AS description,
+          coalesce(nullif(ip, ''), 'unknown') AS source_ip, CAST(1 AS BIGINT) AS count,
+          substring(raw, 1, 120) AS sample_raw, 'Isolation Forest' AS detection_method,
+          {fused(num(0.0), 'anomaly_score', fv.LINE_ALPHA)}
+        FROM {prefix}predicted WHERE if_pred = 1 AND rule_pred = 0 AND anomaly_score > {num(fv.AI_ONLY_CUT)}""",
+        f"{prefix}predicted",
+    )
+    cte(
+        f"{prefix}hybrid", f"SELECT * FROM {prefix}fused_alerts UNION ALL BY NAME SELECT * FROM {prefix}ai_alerts",
+        f"{prefix}fused_alerts", f"{prefix}ai_alerts",
+    )
+
+
+def line_ablation(predicted: str) -> str:
+    mix = threat("rule_pred", "anomaly_score", fv.LINE_ABLATION_ALPHA)
+    return "SELECT method, precision, recall, f1, fpr FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS method, {QUALITY_ROUNDED} FROM (SELECT {cells('label', pred)} FROM {predicted})"
+        for name, pred in (
+            ("rule_only", "rule_pred"),
+            ("isolation_forest", "if_pred"),
+            ("hybrid", f"CAST({mix} >= {num(fv.LINE_ABLATION_THRESHOLD)} AS INTEGER)"),
+        )
+    ) + ")"
+
+
+fusion("", "scored")
+cte("line_table", f"SELECT l.*, {LINE_FLAGS}, {BURST} FROM all_logs l LEFT JOIN per_ip USING (ip)", "per_ip", keep=True)
 
 # --- session logs -----------------------------------------------------------------------
 cte(
