@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vigilog.operators import ordinals, parsing, sessions, windows
+from vigilog.operators import ordinals, panes, parsing, sessions, windows
 
 
 def cluster(spark, counts, seed=0):
@@ -135,3 +135,29 @@ def test_literals_are_necessary(spark):
             want = want.bitwiseOR(F.when(hit, F.lit(1 << n)).otherwise(0).cast("bigint"))
         rows = evidence.bits(df, "content", "bits").withColumn("want", want)
         assert rows.filter("bits <> want").count() == 0
+
+
+@pytest.mark.parametrize("size, step", [(20, 10), (15, 4), (6, 9)])
+def test_panes_equal_brute_force(spark, size, step):
+    """Sums and distinct values, nulls among them, of every window, over nodes that span many chunks."""
+    rng = random.Random(size)
+    rows = [(i, rng.choice("aaab"), rng.choice([None, "x", "y", "z", "w"]), rng.randrange(3), int(rng.random() < 0.02)) for i in range(3000)]
+    lines = spark.createDataFrame(rows, "line_key bigint, node string, value string, n int, label int")
+    found = panes.pane_windows(lines, {"total": F.col("n")}, {"values": "value"}, size, step)
+    wanted = {}
+    for node in "ab":
+        own = [r for r in rows if r[1] == node]
+        for k, start in enumerate(range(0, len(own) - size + 1, step)):
+            part = own[start : start + size]
+            wanted[node, k] = (max(r[4] for r in part), size, sum(r[3] for r in part), len({r[2] for r in part} - {None}))
+    assert {(r.node, r.win_no): (r.label, r.seq_len, r.total, r["values"]) for r in found.collect()} == wanted
+
+
+def test_no_line_is_copied_into_windows(spark):
+    """Only lines at the edge of two chunks are unfolded, and panes into the windows that hold them."""
+    lines = cluster(spark, {"hot": 20_000})
+    plan = panes.pane_windows(lines, {}, {"texts": "content"})
+    rows = plan.count()
+    assert rows == 1999
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Generate explode") <= 4 and "Exchange SinglePartition" not in text

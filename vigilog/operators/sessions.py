@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.text import blank_to_null, java_pattern
-from .windows import WINDOW_KEY, window_lines
+from ..sources.shared import materialise
+from .panes import pane_windows
 
 HDFS_FEATURES = (
     "seq_len", "error_count", "error_ratio", "replicate_count", "max_block_size",
@@ -65,6 +66,11 @@ class Evidence:
             for n, name in enumerate(names)
         ]
 
+    def flags(self, bits: str) -> dict[str, Column]:
+        """1 per pattern that a line matches, else 0."""
+        names = [*self.counts, *[rule_column(r) for r in self.rule_lines]]
+        return {name: F.getbit(bits, F.lit(n)).cast("bigint") for n, name in enumerate(names)}
+
     def resums(self) -> list[Column]:
         names = [*self.counts, *[rule_column(r) for r in self.rule_lines]]
         return [F.sum(name).alias(name) for name in names]
@@ -137,31 +143,23 @@ def _cluster_windows(
 ) -> DataFrame:
     """Per window: counts per pattern, distinct texts and (optionally) distinct racks.
 
-    ``window_lines`` leaves each window in one partition, so the two levels of grouping below
-    run without a shuffle.
+    Lines are parsed once: what is written and shuffled afterwards is the label, the packed bits and
+    digests of the text and the rack, not the text.
     """
     marked = evidence.bits(lines.select("node", "line_key", "label", "content"), "content", "__bits")
-    keys = [*WINDOW_KEY, "content", "__bits"]
-    texts = window_lines(marked, size, step).groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.max("label").alias("label")
-    )
-    distinct = []
+    columns = [F.unhex(F.md5(F.coalesce("content", F.lit("")))).alias("__text")]
+    distinct = {"__texts": "__text"}
     if rack:
-        found = F.regexp_extract("content", java_pattern(rack), 0)
-        texts = texts.withColumn("__rack", found).withColumn("__rack", blank_to_null(F.col("__rack")))
-        distinct = [F.count_distinct("__rack").alias("unique_nodes")]
-    return (
-        texts.groupBy(*WINDOW_KEY)
-        .agg(
-            F.max("label").alias("label"),
-            F.sum("__n").alias("seq_len"),
-            (F.count("*") / F.sum("__n")).alias("unique_ratio"),
-            *distinct,
-            *evidence.sums("__bits", F.col("__n")),
-        )
-        .withColumn("error_ratio", F.col("error_count") / F.col("seq_len"))
-        .drop("chunk")
-    )
+        columns.append(blank_to_null(F.regexp_extract("content", java_pattern(rack), 0)).alias("__rack"))
+        distinct["unique_nodes"] = "__rack"
+    compact = materialise(marked.select("node", "line_key", "label", "__bits", *columns), "marked-lines")
+    found = pane_windows(compact, evidence.flags("__bits"), distinct, size, step)
+    return found.withColumns(
+        {
+            "unique_ratio": F.col("__texts") / F.col("seq_len"),
+            "error_ratio": F.col("error_count") / F.col("seq_len"),
+        }
+    ).drop("__texts")
 
 
 def bgl_windows(
