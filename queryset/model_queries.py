@@ -10,7 +10,7 @@ from vigilog.operators.fusion import HYBRID_COLUMNS
 from vigilog.operators.line_features import COMBINED_FEATURES
 from vigilog.plans import line_plan, session_plan
 from vigilog.plans.session_plan import BGL, HDFS, THUNDERBIRD
-from vigilog.sources.models import load_model, save_model
+from vigilog.sources.models import load_model, save_model, table_digest
 from vigilog.sources.shared import new_path
 
 from . import logs
@@ -89,8 +89,10 @@ def model_roundtrip(spark, sf_dir):
     table = _sessions(spark, sf_dir, THUNDERBIRD)
     model = forest.fit(table, THUNDERBIRD.features, THUNDERBIRD.key)
     path = new_path(spark, "model")
-    save_model(model, path)
-    both = forest.score(forest.score(table, model), load_model(spark, path), "reloaded_score")
+    trained_on = table_digest(table.filter("label = 0"), [*THUNDERBIRD.key, *THUNDERBIRD.features])
+    version = save_model(model, path, trained_on)
+    loaded = load_model(spark, path, version, THUNDERBIRD.features, trained_on)
+    both = forest.score(forest.score(table, model), loaded, "reloaded_score")
     return both.select("node", "win_no", *[F.round(c, 9).alias(c) for c in ("raw_score", "reloaded_score")])
 
 

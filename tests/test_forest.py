@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vigilog.operators import cross_validation, forest, importance
-from vigilog.sources.models import load_model, save_model
+from vigilog.sources.models import load_model, save_model, table_digest, versions
 
 FEATURES = ["a", "b", "c"]
 
@@ -103,3 +104,31 @@ def test_cross_validation_on_separable_data(spark):
     folds = cross_validation.cross_validate(df, FEATURES, ["k"], 0.55, 0.5, trees=10).collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
     assert all(r["tp"] + r["fn"] == 10 and r["recall"] == 1.0 for r in folds)
+
+
+def test_model_versions_are_published_whole_and_checked(spark, tmp_path):
+    df = table(spark, 300)
+    path = str(tmp_path / "m")
+    model = forest.fit(df, FEATURES, ["k"], trees=5)
+    digest = table_digest(df, ["k", *FEATURES])
+    assert digest == table_digest(df.repartition(7), ["k", *FEATURES]) != table_digest(df.filter("k > 0"), ["k", *FEATURES])
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path)
+    assert save_model(model, path, digest) == 1
+    other = forest.fit(df, FEATURES, ["k"], trees=6)
+    assert save_model(other, path) == 2 and versions(spark, path) == [1, 2]
+    assert load_model(spark, path).nodes.select("tree").distinct().count() == 6
+    first = load_model(spark, path, version=1, features=FEATURES, trained_on=digest)
+    assert first.nodes.select("tree").distinct().count() == 5
+    both = forest.score(forest.score(df, model), first, "s")
+    assert both.filter("raw_score <> s").count() == 0
+    with pytest.raises(ValueError, match="takes the features"):
+        load_model(spark, path, features=FEATURES[::-1])
+    with pytest.raises(ValueError, match="other rows"):
+        load_model(spark, path, version=2, trained_on=digest)
+    # A draft that was never renamed isn't a version; a model whose files changed is refused.
+    model.nodes.write.parquet(f"{path}/_draft-lost/forest_nodes")
+    assert versions(spark, path) == [1, 2]
+    model.nodes.limit(3).write.mode("append").parquet(f"{path}/version=1/forest_nodes")
+    with pytest.raises(ValueError, match="aren't those"):
+        load_model(spark, path, version=1)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import ratio, threat
+from ..sources.shared import materialise
 from .forest import HASH_DIGITS, order_key
 from .ordinals import dense_ordinal
 
 FOLD_BUCKETS = 4096
+#: Bits that a pass of the radix selection settles.
+DIGIT_BITS = 16
 
 
 def quality(counts: DataFrame, rounded: bool = True) -> DataFrame:
@@ -222,33 +226,56 @@ def line_contamination(df: DataFrame) -> DataFrame:
     return df.agg(F.least(F.lit(0.5), percent / 100 + F.lit(0.02)).alias("contamination"))
 
 
+def order_bits(value: Column) -> Column:
+    """A 64-bit integer for a double that orders as the double does (both zeros are one)."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+
+
+def from_order_bits(key: int) -> float:
+    return struct.unpack(">d", struct.pack(">q", key if key >= 0 else key ^ (2**63 - 1)))[0]
+
+
+def select_ranks(keys: DataFrame, ranks: Sequence[int]) -> list[int]:
+    """The integers at some 0-based places in the order of ``key``, by radix selection.
+
+    ``DIGIT_BITS`` bits are settled at a time, from the highest: the rows that share the digits settled so
+    far are counted by their next digit, and the digit is the one in which the place lies. Four small
+    aggregates, however the values are spread; none is sorted, and what is read is at most
+    ``2 ** DIGIT_BITS`` counts for each place.
+    """
+    settled: dict[int, int | None] = dict.fromkeys(ranks)
+    before = dict.fromkeys(ranks, 0)
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        head = F.shiftright("key", shift)
+        inside = keys
+        if None not in settled.values():
+            inside = keys.filter(F.shiftright("key", shift + DIGIT_BITS).isin(sorted(set(settled.values()))))
+        counts = inside.groupBy(head.alias("head")).agg(F.count("*").alias("n")).toArrow().sort_by("head")
+        heads, n = counts["head"].to_numpy(), counts["n"].to_numpy()
+        for rank, prefix in list(settled.items()):
+            own = slice(None) if prefix is None else slice(*heads.searchsorted([prefix << DIGIT_BITS, (prefix + 1) << DIGIT_BITS]))
+            upto = before[rank] + n[own].cumsum()
+            at = int(upto.searchsorted(rank, "right"))
+            settled[rank], before[rank] = int(heads[own][at]), int(upto[at] - n[own][at])
+    return [settled[rank] for rank in ranks]
+
+
 def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
     """A quantile with linear interpolation between neighbours, exact at any size.
 
-    Two approximate quantiles bracket the answer, a few times wider than their error and by at
-    least three rows. Rows below the bracket are only counted; the values inside are reduced to
-    distinct values with counts, a set whose size the accuracy of the bracket bounds, and looked
-    up by running count.
+    The two values at its place are found by radix selection over order-preserving integers, which are
+    written once. Nulls don't count; None without any value.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    n = values.count()
+    keys = materialise(values.select(order_bits(F.col("v")).alias("key")), "quantile-keys")
+    n = keys.count()
     if not n:
         return None
-    accuracy = 100_000
-    slack = max(4 / accuracy, 3 / n)
-    shares = F.lit([max(0.0, share - slack), min(1.0, share + slack)]).cast("array<double>")
-    start, end = values.agg(F.percentile_approx("v", shares, accuracy)).first()[0]
-    inside = values.filter((F.col("v") >= start) & (F.col("v") <= end))
-    below = values.filter(F.col("v") < start).count()
-    running = inside.groupBy("v").agg(F.count("*").alias("n")).withColumn(
-        "upto", F.sum("n").over(Window.orderBy("v")) + below
-    )
     place = share * (n - 1)
-    low, high = int(place), min(int(place) + 1, n - 1)
-    at_low, at_high = running.agg(
-        F.min(F.when(F.col("upto") > low, F.col("v"))), F.min(F.when(F.col("upto") > high, F.col("v")))
-    ).first()
-    return at_low + (at_high - at_low) * (place - low)
+    low, high = map(from_order_bits, select_ranks(keys, [int(place), min(int(place) + 1, n - 1)]))
+    # Equal neighbours, infinite ones among them, need no interpolation.
+    return low if low == high else low + (high - low) * (place - int(place))
 
 
 def flag_outliers(df: DataFrame, score: str, cut: float | None) -> DataFrame:
