@@ -345,13 +345,17 @@ def sample_flagged(spark, sf_dir):
 
 
 # --- sequences --------------------------------------------------------------------------
-def _sequences(spark, sf_dir):
-    """Key sequences, written once: training and detection both read them."""
+def _keyed(spark, sf_dir):
+    """Lines with the numbers of their texts, written once: steps and windows both read them."""
     lines = materialise(
         logs.cluster_lines(spark, sf_dir, "bgl").select("node", "line_key", "label", "content"), "bgl"
     )
-    keyed = ngram.log_keys(lines, ngram.log_vocabulary(lines))
-    return materialise(ngram.key_sequences(keyed), "sequences")
+    return materialise(ngram.log_keys(lines, ngram.log_vocabulary(lines)).drop("content"), "keyed")
+
+
+def _sequences(spark, sf_dir):
+    """Key sequences, written once: training and detection both read them."""
+    return materialise(ngram.key_sequences(_keyed(spark, sf_dir)), "sequences")
 
 
 @query("log_vocab", sql("SELECT content, n, CAST(key AS INTEGER) AS key FROM vocab", "vocab"))
@@ -413,7 +417,7 @@ def ngram_topk(spark, sf_dir):
 
 @query("ngram_detect", sql("SELECT node, win_no, label, pred FROM detected", "detected"))
 def ngram_detect(spark, sf_dir):
-    return ngram.ngram_detect(_sequences(spark, sf_dir))
+    return ngram.detect_windows(_keyed(spark, sf_dir))
 
 
 @query(
@@ -424,5 +428,5 @@ def ngram_detect(spark, sf_dir):
     ),
 )
 def ngram_metrics(spark, sf_dir):
-    found = ngram.ngram_detect(_sequences(spark, sf_dir))
+    found = ngram.detect_windows(_keyed(spark, sf_dir))
     return evaluation.compare_methods(found, {"ngram": F.col("pred")})

@@ -140,3 +140,16 @@ def test_quantile_of_no_values(spark):
     assert evaluation.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
     one = spark.createDataFrame([(None,), (float("inf"),), (float("inf"),)], "v double")
     assert evaluation.exact_quantile(one, "v", 0.3) == float("inf")
+
+
+@pytest.mark.parametrize("size, step, history", [(20, 10, 10), (12, 3, 4), (6, 8, 2), (5, 2, 5)])
+def test_steps_judged_once_equal_windows(spark, size, step, history):
+    """Detection from lines equals detection from window sequences, on nodes over many chunks."""
+    rng = random.Random(size)
+    rows = [(i, rng.choice("aab"), rng.choice([1, 2, 3]) if rng.random() < 0.3 else i % 3 + 1, int(rng.random() < 0.01)) for i in range(2500)]
+    keyed = spark.createDataFrame(rows, "line_key bigint, node string, key int, label int")
+    found = ngram.detect_windows(keyed, size, step, history, k=2)
+    wanted = ngram.ngram_detect(ngram.key_sequences(keyed, size, step), history, k=2)
+    assert sorted(found.collect()) == sorted(wanted.select(found.columns).collect())
+    steps = ngram.line_steps(keyed, size, step, history)
+    assert steps.count() == steps.select("node", "ordinal").distinct().count() <= len(rows)

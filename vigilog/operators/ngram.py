@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from ..sources.shared import materialise
 from .lookup import lookup
-from .windows import WINDOW_KEY, node_ordinals, window_lines, window_span
+from .panes import pane_windows
+from .windows import WINDOW_KEY, WINDOWS_PER_CHUNK, node_ordinals, window_lines, window_span
 
 
 def log_vocabulary(
@@ -143,3 +145,68 @@ def ngram_detect(
         .join(unusual, ["node", "win_no"], "left")
         .withColumn("pred", F.coalesce("pred", F.lit(0)))
     )
+
+
+def line_steps(
+    keyed: DataFrame, size: int = fv.WINDOW_SIZE, step: int = fv.WINDOW_STEP, history: int = fv.NGRAM_HISTORY
+) -> DataFrame:
+    """One row per line that is a step of some full window: ``node``, ``ordinal``, the keys before it
+    (``ctx``) and its own (``nxt``), and the windows ``first_win`` to ``last_win`` it is a step of.
+
+    A step is the same in all windows that hold it and its history. Lines are shuffled into chunks of a
+    node; those before a chunk's first line come along, so that its history is there.
+    """
+    length = WINDOWS_PER_CHUNK * step + history
+    near = F.col("ordinal") % length >= length - history
+    chunk = F.expr(f"ordinal div {length}")
+    numbered = node_ordinals(keyed.select("node", "line_key", "key")).drop("line_key")
+    dealt = numbered.withColumn(
+        "chunk", F.explode(F.when(near, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
+    ).repartition("node", "chunk")
+    before = Window.partitionBy("node", "chunk").orderBy("ordinal").rowsBetween(-history, -1)
+    last_full = F.expr(f"(node_lines - {size}) div {step}")
+    return (
+        dealt.withColumn("keys", F.collect_list("key").over(before))
+        .filter((chunk == F.col("chunk")) & (F.size("keys") == history) & (F.col("node_lines") >= size))
+        .select(
+            "node", "ordinal", F.array_join(F.col("keys").cast("array<string>"), ",").alias("ctx"), F.col("key").alias("nxt"),
+            F.greatest(F.lit(0).cast("bigint"), F.expr(f"(ordinal - {size} + {step}) div {step}")).alias("first_win"),
+            F.least(F.expr(f"(ordinal - {history}) div {step}"), last_full).alias("last_win"),
+        )
+        .filter("first_win <= last_win")
+    )
+
+
+def detect_windows(
+    keyed: DataFrame,
+    size: int = fv.WINDOW_SIZE,
+    step: int = fv.WINDOW_STEP,
+    history: int = fv.NGRAM_HISTORY,
+    k: int = fv.NGRAM_TOP_K,
+) -> DataFrame:
+    """``ngram_detect`` from keyed lines (``node``, ``line_key``, ``label``, ``key``), without building windows.
+
+    Each step is matched against the usual ones once, however many windows overlap there; a window is
+    found by those of its steps that are unusual. Windows as short as the history have no steps.
+    """
+    steps = materialise(line_steps(keyed, size, step, history), "steps")
+    windows = materialise(pane_windows(keyed, {}, {}, size, step).select("node", "win_no", "label"), "windows")
+    held = F.explode(F.sequence("first_win", "last_win"))
+    normal = windows.filter("label = 0").select("node", "win_no")
+    trained = steps.withColumn("win_no", held).join(normal, ["node", "win_no"], "left_semi")
+    trained = trained.withColumn("start", F.col("ordinal") - F.lit(history) - F.col("win_no") * step)
+    usual = top_next(transitions(trained), k).select(
+        F.concat_ws(",", "ctx", "nxt").alias("pair"), F.lit(1).alias("usual")
+    )
+    pairs = steps.select(
+        F.struct("node", "ordinal").alias("step_key"), "node", "first_win", "last_win",
+        F.concat_ws(",", "ctx", "nxt").alias("pair"),
+    )
+    unusual = (
+        lookup(pairs, usual, "pair", row_key="step_key")
+        .filter(F.col("usual").isNull())
+        .select("node", held.alias("win_no"))
+        .distinct()
+        .withColumn("pred", F.lit(1))
+    )
+    return windows.join(unusual, ["node", "win_no"], "left").withColumn("pred", F.coalesce("pred", F.lit(0)))
