@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from math import isfinite
 from typing import Any
 
 import pyarrow as pa
@@ -24,6 +25,15 @@ from ..sources.shared import materialise
 #: Key of an argument object that names the result of another call.
 REFERENCE = "$result"
 TURNS_PER_BUCKET = 65_536
+#: Nesting of arguments, beyond which they are invalid.
+MAX_DEPTH = 100
+#: Ties of a conversation that are ordered in one call; conversations with more are ordered in rounds.
+GROUPED_TIES = 50_000
+#: Keywords of JSON schemas that are judged, and those that say nothing about a value. Fixed values.
+KEYWORDS = frozenset(
+    "type enum const required properties additionalProperties items minItems maxItems minLength maxLength pattern"
+    " minimum maximum title description default examples $comment".split()
+)
 _KINDS = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
     "number": (int, float), "integer": int,
@@ -81,8 +91,45 @@ def _is(value: Any, name: str) -> bool:
 
 
 def canonical(value: Any) -> str:
-    """JSON with sorted keys and no white space; equal values give equal text."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and no white space; equal values give equal text, so a whole number is
+    written without a fraction, however it came. Not for values that ``flaw`` finds."""
+    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _plain(value: Any) -> Any:
+    if isinstance(value, float):
+        return int(value) if value.is_integer() else value
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def flaw(value: Any) -> str | None:
+    """Why a value can't be handled: too deep, a number that isn't finite, text that isn't Unicode."""
+    todo = [(value, 1)]
+    while todo:
+        own, depth = todo.pop()
+        if depth > MAX_DEPTH:
+            return f"$: deeper than {MAX_DEPTH}"
+        if isinstance(own, float) and not isfinite(own):
+            return "$: a number out of range"
+        if isinstance(own, str) and any("\ud800" <= c <= "\udfff" for c in own):
+            return "$: not Unicode"
+        if isinstance(own, dict):
+            todo += [(x, depth + 1) for pair in own.items() for x in pair]
+        elif isinstance(own, list):
+            todo += [(x, depth + 1) for x in own]
+    return None
+
+
+def check_schema(schema: dict) -> None:
+    """Fails on a keyword that ``problem`` doesn't know, at any depth: else it would pass what it can't judge."""
+    unknown = set(schema) - KEYWORDS
+    if unknown:
+        raise ValueError(f"schema keywords that aren't known: {sorted(unknown)}")
+    for part in (*schema.get("properties", {}).values(), schema.get("items"), schema.get("additionalProperties")):
+        if isinstance(part, dict):
+            check_schema(part)
 
 
 def _references(value: Any) -> set[str]:
@@ -93,17 +140,28 @@ def _references(value: Any) -> set[str]:
     return set().union(*(_references(x) for x in value)) if isinstance(value, list) else set()
 
 
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
 def _read_arguments(schemas: dict[str, dict]):
-    """Column function: arguments as ``struct<wanted: array<string>, problem: string, written: string>``."""
+    """Column function: arguments as ``struct<wanted: array<string>, problem: string, written: string>``.
+
+    What isn't JSON, or has a ``flaw``, is written as one string: the arguments as they came."""
+    for schema in schemas.values():
+        check_schema(schema)
 
     @F.arrow_udf("wanted array<string>, problem string, written string")
     def read(names: pa.Array, arguments: pa.Array) -> pa.Array:
         rows = []
         for name, text in zip(names.to_pylist(), arguments.to_pylist(), strict=True):
             try:
-                value = json.loads(text or "")
+                value = json.loads(text or "", parse_constant=_no_constant)
+                wrong = flaw(value)
             except (ValueError, RecursionError):
-                rows.append({"wanted": [], "problem": "$: not JSON", "written": canonical(text)})
+                wrong = "$: not JSON"
+            if wrong:
+                rows.append({"wanted": [], "problem": wrong, "written": canonical(text)})
                 continue
             wrong = problem(value, schemas[name]) if name in schemas else f"{name}: unknown tool"
             rows.append({"wanted": sorted(_references(value)), "problem": wrong, "written": canonical(value)})
@@ -118,7 +176,54 @@ def _first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("n", rank).filter("n = 1").drop("n")
 
 
+def levels_of(turns: dict, needs: list[tuple]) -> dict:
+    """``late, level`` of each call from its turn and the ties ``(call, needed)``: the turn it can be made in,
+    and how many calls must go before it one after another. Calls in or after a circle are left out."""
+    waits, holds = dict.fromkeys(turns, 0), {}
+    for call, needed in set(needs):
+        waits[call] += 1
+        holds.setdefault(needed, []).append(call)
+    late, level = dict(turns), dict.fromkeys(turns, 0)
+    free, done = [c for c, n in waits.items() if not n], {}
+    while free:
+        call = free.pop()
+        done[call] = (late[call], level[call])
+        for other in holds.get(call, ()):
+            level[other] = max(level[other], level[call] + 1)
+            if late[call] is not None and (late[other] is None or late[other] < late[call]):
+                late[other] = late[call]
+            waits[other] -= 1
+            if not waits[other]:
+                free.append(other)
+    return done
+
+
 def _levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id, late, level`` of ``levels_of`` for the ties ``conv_id, call_id, needs``.
+
+    A conversation's ties are ordered in one call, up to ``GROUPED_TIES``; a larger one in rounds."""
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    turns = calls.select("conv_id", "call_id", F.lit(None).cast("string").alias("needs"), "turn")
+    size = edges.groupBy("conv_id").agg(F.count("*").alias("ties"))
+    sized = materialise(edges.distinct().join(size, "conv_id"), "edges")
+    small = sized.filter(F.col("ties") <= GROUPED_TIES).drop("ties")
+    large = sized.filter(F.col("ties") > GROUPED_TIES).drop("ties")
+
+    def order(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        own = {r["call_id"]: r["turn"] for r in rows if r["needs"] is None}
+        done = levels_of(own, [(r["call_id"], r["needs"]) for r in rows if r["needs"] is not None])
+        found = [{"conv_id": rows[0]["conv_id"], "call_id": c, "late": late, "level": level} for c, (late, level) in done.items()]
+        return pa.Table.from_pylist(found, pa.schema([("conv_id", table.schema.field("conv_id").type), ("call_id", pa.string()), ("late", pa.int64()), ("level", pa.int32())]))
+
+    ends = small.select("conv_id", "call_id").union(small.select("conv_id", F.col("needs").alias("call_id"))).distinct()
+    nodes = turns.join(ends, ["conv_id", "call_id"], "left_semi")
+    both = nodes.unionByName(small.withColumn("turn", F.lit(None).cast("bigint")))
+    done = materialise(both.groupBy("conv_id").applyInArrow(order, f"conv_id {kind}, call_id string, late bigint, level int"), "levels")
+    return done if large.isEmpty() else done.unionByName(_rounds(large, calls))
+
+
+def _rounds(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, late, level``: the turn each call of the edges can be made in, and the
     number of calls that must go before it one after another. Calls in or after a circle get no row.
 
