@@ -30,10 +30,11 @@ UNDETERMINED = "und"
 
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> DataFrame:
     """``lang, text``: about ``per_language`` documents of each language, chosen by the hash of
-    ``doc_id``; all of a language that has fewer. Rows without text or language are left out."""
+    ``doc_id`` (of the text where there is none); all of a language that has fewer. Rows without text or
+    language are left out."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).withColumnRenamed("lang", "l")
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 30)) / F.lit(1 << 30)
+    draw = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(1 << 30)) / F.lit(1 << 30)
     return (
         known.join(F.broadcast(sizes), F.col("lang") == F.col("l"))  # a row per language, each of which gets a model
         .filter(draw * F.col("rows") < per_language)

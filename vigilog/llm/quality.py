@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
+from .draws import drawn_texts
 
 #: Frequent short words of the languages served, and words of abuse. Fixed values.
 COMMON_WORDS = (
@@ -114,12 +115,10 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, most: int = TRAIN_DOCUMENTS) -> LogisticRegressionModel:
-    """A scorer from rows of ``text, posterior``, of about ``most`` rows chosen by the hash of text.
+    """A scorer from rows of ``text, posterior``, of at most ``most`` distinct texts, the smallest by hash.
 
-    A soft label is two weighted examples, one of each class."""
-    rows = labelled.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = labelled.filter(draw < F.lit(int((1 << 30) * min(1.0, most / max(1, rows)))))
+    A soft label is two weighted examples, one of each class. ``labelled`` has a row at least."""
+    chosen = drawn_texts(labelled.select("text", "posterior"), most)
     both = F.explode(
         F.array(
             F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),

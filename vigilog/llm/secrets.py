@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
+from .draws import drawn_texts
 
 #: Shortest candidate, and characters looked at on either side.
 SHORTEST = 16
@@ -46,6 +47,7 @@ ASSIGNED = (
 IN_URL = r"""://[^\s/:@"']*:([^\s/@"']+)(?=@)"""
 #: Documents that lend surroundings to planted findings, at most about; trees and their depth; the cut.
 TRAIN_DOCUMENTS = 2000
+LEAST_DOCUMENTS = 100
 TREES = 30
 DEPTH = 7
 CUT = 0.5
@@ -56,10 +58,15 @@ FEATURES = (
 )
 
 
+def text_key(text: Column | str) -> Column:
+    """A digest of a text, as binary."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id, at, candidate, before, after`` of every candidate in every text.
+    """``doc_id, text_key, at, candidate, before, after`` of every candidate in every text.
 
-    ``at`` counts characters from 0; ``before`` and ``after`` are up to ``AROUND`` characters. Texts
+    ``text_key`` is a digest of the text; ``at`` counts characters from 0; ``before`` and ``after`` are up to ``AROUND`` characters. Texts
     between the candidates come from a split by the same pattern, so a text is passed over twice for each
     pattern and only texts with candidates give rows. What several patterns find alike comes once; a value
     that holds a shorter candidate gives both. Null and empty texts give none; a row without ``doc_id``
@@ -70,7 +77,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     for pattern, _ in patterns.values():
         any_ = any_ | F.col("t").rlike(pattern)
     parts = docs.select("doc_id", F.col(text).alias("t")).filter(any_)
-    parts = parts.select("doc_id", *[
+    parts = parts.select("doc_id", text_key("t").alias("text_key"), *[
         column
         for name, (pattern, group) in patterns.items()
         for column in (
@@ -89,10 +96,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             'after', left({name}_gaps[i + 1], {AROUND})))"""
         for name in patterns
     }
-    each = parts.select("doc_id", *[F.expr(e).alias(name) for name, e in spans.items()])
+    each = parts.select("doc_id", "text_key", *[F.expr(e).alias(name) for name, e in spans.items()])
     new = "filter({0}, x -> NOT exists({1}, y -> y.at = x.at AND y.candidate = x.candidate))"
-    each = each.select("doc_id", F.expr(f"concat(run, {new.format('set', 'run')}, {new.format('url', 'concat(run, set)')})").alias("all"))
-    return each.select("doc_id", F.explode("all").alias("c")).select("doc_id", "c.at", "c.candidate", "c.before", "c.after")
+    each = each.select("doc_id", "text_key", F.expr(f"concat(run, {new.format('set', 'run')}, {new.format('url', 'concat(run, set)')})").alias("all"))
+    return each.select("doc_id", "text_key", F.explode("all").alias("c")).select("doc_id", "text_key", "c.at", "c.candidate", "c.before", "c.after")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -136,18 +143,22 @@ def features(found: DataFrame) -> DataFrame:
 def planted_findings(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> DataFrame:
     """Labelled findings ``candidate, before, after, label`` in surroundings lent by documents.
 
-    About ``most`` documents, chosen by the hash of text; each lends the words around its middle to
-    every kind of key. Keys are digests of the document, so a rerun plants the same.
+    At most ``most`` distinct texts, the smallest by hash; each lends the words around its middle to
+    every kind of key. Keys are digests of the document, so a rerun plants the same; where there are
+    fewer than ``LEAST_DOCUMENTS`` texts each lends its words several times, under other digests. A table without
+    texts plants nothing.
     """
-    rows = docs.count()
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    chosen = docs.filter(F.col("text").isNotNull() & (draw < F.lit(int((1 << 30) * min(1.0, most / max(1, rows))))))
+    chosen = drawn_texts(docs.select("text").filter("text IS NOT NULL"), most)
     words = chosen.select(
         F.regexp_replace(F.expr(f"right(left(text, cast(length(text) / 2 as int)), {AROUND})"), r"^\S*\s|\S*$", "").alias("lead"),
         F.regexp_replace(F.expr(f"substr(text, cast(length(text) / 2 as int) + 1, {AROUND})"), r"^\S*", "").alias("tail"),
         F.sha2("text", 512).alias("h"),
-        F.coalesce(F.regexp_extract("text", "([a-z]{4,8})", 1), F.lit("name")).alias("word"),
+        F.coalesce(F.nullif(F.regexp_extract("text", "([a-z]{4,8})", 1), F.lit("")), F.lit("name")).alias("word"),
     )
+    words = materialise(words, "lent-words")
+    times = -(-LEAST_DOCUMENTS // max(1, words.count()))
+    again = F.when(F.col("time") > 1, F.sha2(F.concat("h", F.col("time").cast("string")), 512)).otherwise(F.col("h"))
+    words = words.withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("h", again)
     upper = "translate(upper(left(h, {0})), '0189BF', 'QZXWKM')"
     mixed = "left(regexp_replace(base64(unhex(h)), '[^A-Za-z0-9]', ''), {0})"
     # (label, text between the lead and the key, key, text after the key)
@@ -214,7 +225,7 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None) -> DataFrame:
-    """``doc_id, at, candidate, score, is_secret`` of every candidate in ``doc_id, text``.
+    """``doc_id, text_key, at, candidate, score, is_secret`` of every candidate in ``doc_id, text``.
 
     Other columns are not looked at. Without a model one is trained from planted findings; a table
     without texts gives no rows.
@@ -223,25 +234,28 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None)
     if model is None:
         planted = planted_findings(docs)
         if planted.isEmpty():
-            return found.select("doc_id", "at", "candidate", F.lit(0.0).alias("score"), F.lit(False).alias("is_secret"))
+            return found.select("doc_id", "text_key", "at", "candidate", F.lit(0.0).alias("score"), F.lit(False).alias("is_secret"))
         model = train(planted)
     scored = model.transform(_assembled(features(found)))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "at", "candidate", score.alias("score"), (score >= CUT).alias("is_secret"))
+    return scored.select("doc_id", "text_key", "at", "candidate", score.alias("score"), (score >= CUT).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all rows and columns stay.
 
-    A string that is a secret anywhere in the rows of a ``doc_id`` is replaced wherever it stands there.
+    ``findings`` are those of ``scan`` over the same rows. A string that is a secret in a text is replaced
+    wherever it stands in that text, and in no other: findings meet texts by their digest, whatever their
+    ``doc_id``.
     """
     secrets = (
         findings.filter("is_secret")
-        .groupBy(F.col("doc_id").alias("d"))
+        .groupBy("text_key")
         .agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("found"))
     )
     clean = F.expr(f"aggregate(found, text, (t, s) -> replace(t, s, '{REDACTED}'))")
-    joined = docs.join(secrets, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), text_key("text").alias("own"))
+    joined = own.join(secrets, F.col("own") == F.col("text_key"), "left")
     return joined.select(
-        *[F.coalesce(clean, F.col("text")).alias(c) if c == "text" else docs[c] for c in docs.columns]
+        *[F.coalesce(clean, F.col("text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     )
