@@ -24,6 +24,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from .memory import lean
+
 #: Matches up to so many bytes are merged many at a time.
 SHORT = 64
 #: Bytes, about, of matches kept with their ids in a worker before older ones are set aside (so up to
@@ -322,6 +324,7 @@ _tables: dict[tuple[bytes, str], Ranks] = {}
 
 def _table(vocabulary: Broadcast, pattern: str) -> Ranks:
     """One table per worker and vocabulary."""
+    lean()
     key = (vocabulary.value, pattern)
     if key not in _tables:
         _tables[key] = Ranks(*key)

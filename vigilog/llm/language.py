@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 #: Bytes of the longest context.
 ORDER = 3
 #: Training documents per language, chosen by hash; the only sample, it bounds the model.
@@ -177,6 +179,7 @@ def identify(docs: DataFrame, model: ContextModel | None, text: str = "text") ->
 
     @F.arrow_udf("lang_pred string, score double, bits double")
     def best(texts: pa.Array) -> pa.Array:
+        lean()
         frozen = shared.value
         names, scores, bits = [], [], []
         for value in texts:
