@@ -40,7 +40,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     if not files.exists(where):
         return []
     names = [status.getPath().getName() for status in files.listStatus(where)]
-    return sorted(int(m[1]) for m in (re.fullmatch(VERSION + r"(\d+)", n) for n in names) if m)
+    return sorted(int(m[1]) for m in (re.match(VERSION + r"(\d+)\Z", n) for n in names) if m)
 
 
 def _content(nodes: DataFrame, scaler: DataFrame) -> str:
