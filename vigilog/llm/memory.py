@@ -6,9 +6,23 @@ import ctypes
 from functools import cache
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Blocks of so many bytes go back to the system as soon as they are free. Fixed value of the C library's option.
 LARGE, M_MMAP_THRESHOLD = 1 << 20, -3
+#: Bytes of a batch that goes to a Python worker: several batches and what is made of them are held at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's batches for Python by bytes, where it has not bounded them closer.
+
+    A batch of 10,000 rows is as large as its texts; by default it may have 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower()
+    size = int(now.rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 @cache
