@@ -1,6 +1,7 @@
 """Registered queries over the driver's tables, with their DuckDB oracles."""
 
 from . import (  # noqa: F401
+    batch_queries,
     file_queries,
     line_queries,
     model_queries,

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilog.functions import fixed_values as fv
-from vigilog.operators import reports
-from vigilog.operators.evaluation import ablation_sessions
-from vigilog.plans.session_plan import BGL, HDFS
+from vigilog.operators import fusion, line_rules, reports
+from vigilog.operators.evaluation import ablation_lines, ablation_sessions
+from vigilog.plans.session_plan import BGL, HDFS, THUNDERBIRD
 from vigilog.sources import discovery, labels, results, text_lines
 from vigilog.sources.shared import new_path
 
 from . import logs
 from .derived import raw_lines
-from .registry import query
-from .sql import QUALITY_ROUNDED, any_word, cells, hit, num, sql, threat
+from .registry import QUERIES, query
+from .session_queries import CV_SUMMARY
+from .sql import QUALITY_ROUNDED, cells, detected_type, line_ablation, num, sql, threat
 
 # Blank lines and white space around lines, to be dropped by the scan.
 _PADDED = "CASE WHEN line_key % 13 = 0 THEN '   ' ELSE concat('  ', raw, '\t ') END"
@@ -85,9 +85,7 @@ def _detected(kind: str) -> str:
         f" FROM {kind}_raw)) WHERE n <= 10 GROUP BY part)"
     )
     return (
-        f"SELECT '{kind}' AS written, part, CASE WHEN {any_word('lower(t)', fv.DETECT_SSH_WORDS)} THEN 'ssh'"
-        f" WHEN {hit('t', fv.DETECT_HDFS)} THEN 'hdfs' WHEN {hit('t', fv.DETECT_APACHE)} THEN 'apache'"
-        f" ELSE 'linux' END AS log_type FROM {joined}"
+        f"SELECT '{kind}' AS written, part, {detected_type('t')} AS log_type FROM {joined}"
     )
 
 
@@ -206,30 +204,50 @@ def json_results_sink(spark, sf_dir):
     return results.read_results(spark, paths).select(*_METRICS)
 
 
+def _write_report(spark, sf_dir) -> dict[str, str]:
+    """The documents that the jobs leave: four ablations in two shapes, a baseline, folds; a job that never ran."""
+    lines = logs.stand_in_lines(logs.materialise(logs.all_logs(spark, sf_dir), "labelled"))
+    predicted = fusion.rule_predictions(lines, line_rules.evaluate_rules(lines))
+    tables = logs.cluster_scored(spark, sf_dir, "thunderbird")
+    sessions = _ablations(spark, sf_dir) | {THUNDERBIRD: ablation_sessions(tables, THUNDERBIRD.alpha, THUNDERBIRD.cut)}
+    documents = {
+        "Lines": results.result_document(ablation_lines(predicted), {"total": lines.count()}, by_name=True),
+        **{k.name: results.result_document(m, {"dataset": k.name, "alpha": k.alpha}) for k, m in sessions.items()},
+        "baseline": QUERIES["ngram_metrics"](spark, sf_dir).withColumn("dataset", F.lit(BGL.name)),
+        "folds": QUERIES["cv_summary"](spark, sf_dir).withColumn("dataset", F.lit(BGL.name)),
+    }
+    catalogue = {"Never run": new_path(spark, "results")}
+    for name, document in documents.items():
+        catalogue[name] = new_path(spark, "results")
+        results.write_json(document, catalogue[name])
+    return catalogue
+
+
 @query(
     "report_comparison",
     sql(
-        f"""SELECT dataset, CAST(NULL AS BIGINT) AS samples,
-          max(f1) FILTER (method = 'Rule Only') AS rule_f1,
-          max(f1) FILTER (method = 'Isolation Forest Only') AS if_f1,
-          max(f1) FILTER (method LIKE '%Hybrid%') AS hybrid_f1,
-          max(precision) FILTER (method LIKE '%Hybrid%') AS hybrid_precision,
-          max(recall) FILTER (method LIKE '%Hybrid%') AS hybrid_recall,
-          max(fpr) FILTER (method LIKE '%Hybrid%') AS hybrid_fpr,
+        f"""SELECT c.*, n.f1 AS baseline_f1, f1_mean AS cv_f1_mean, f1_std AS cv_f1_std, fpr_mean AS cv_fpr_mean,
+          fpr_std AS cv_fpr_std, round(hybrid_f1 - n.f1, 4) AS f1_gain
+        FROM (SELECT dataset, max(total) AS samples,
+          max(f1) FILTER (method IN ('Rule Only', 'rule_only')) AS rule_f1,
+          max(f1) FILTER (method IN ('Isolation Forest Only', 'isolation_forest')) AS if_f1,
+          max(f1) FILTER (method ILIKE '%hybrid%') AS hybrid_f1,
+          max(precision) FILTER (method ILIKE '%hybrid%') AS hybrid_precision,
+          max(recall) FILTER (method ILIKE '%hybrid%') AS hybrid_recall,
+          max(fpr) FILTER (method ILIKE '%hybrid%') AS hybrid_fpr,
           CAST(NULL AS DOUBLE) AS latency_ms
-        FROM ({_methods('hdfs_scored', HDFS)} UNION ALL {_methods('bgl_scored', BGL)}) GROUP BY dataset""",
-        "hdfs_scored", "bgl_scored",
+        FROM (SELECT dataset, tp + fp + tn + fn AS total, method, precision, recall, f1, fpr FROM ({_methods('hdfs_scored', HDFS)}
+            UNION ALL {_methods('bgl_scored', BGL)} UNION ALL {_methods('thunderbird_scored', THUNDERBIRD)})
+          UNION ALL SELECT 'Lines', (SELECT count(*) FROM all_logs), method, precision, recall, f1, fpr FROM ({line_ablation("predicted")}))
+        GROUP BY dataset) c
+        LEFT JOIN (SELECT '{BGL.name}' AS dataset, {QUALITY_ROUNDED} FROM (SELECT {cells('label', 'pred')} FROM detected)) n USING (dataset)
+        LEFT JOIN (SELECT '{BGL.name}' AS dataset, * FROM ({CV_SUMMARY})) f USING (dataset)""",
+        "hdfs_scored", "bgl_scored", "thunderbird_scored", "predicted", "detected",
     ),
 )
 def report_comparison(spark, sf_dir):
-    parts = [
-        metrics.select(
-            F.lit(kind.name).alias("dataset"), F.lit(None).cast("bigint").alias("total"),
-            F.lit(None).cast("double").alias("latency"), "*",
-        )
-        for kind, metrics in _ablations(spark, sf_dir).items()
-    ]
-    return reports.result_comparison(parts[0].unionByName(parts[1]))
+    """One row per data set, from the result documents of all jobs."""
+    return reports.comparison_report(results.read_documents(spark, _write_report(spark, sf_dir)))
 
 
 @query(

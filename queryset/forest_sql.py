@@ -119,35 +119,41 @@ def scored(name: str, vectors: str, out: str, trees: int, psi: int = fv.TREE_SAM
     )
 
 
-def importance(name: str, key: Sequence[str], features: Sequence[str], trees: int = fv.SESSION_TREES, seed: int = fv.SEED) -> None:
-    """Expression ``{name}_importance``: change of the mean score when a feature comes from the next row by hash."""
+def importance(
+    name: str, key: Sequence[str], features: Sequence[str], trees: int = fv.SESSION_TREES, seed: int = fv.SEED,
+    forest: str | None = None, by: str | None = None,
+) -> None:
+    """Expression ``{name}_importance``: change of the mean score when a feature comes from the next row by hash.
+
+    The forest is that of the same name, if no other is given. ``by`` cuts ``{name}_rows`` into batches."""
     keys = ", ".join(key)
-    order = f"ORDER BY {order_key(str(seed), repr('shuffle'), 'k')}, {keys}"
+    own = f"{by}, " if by else ""
+    order = f"{f'PARTITION BY {by} ' if by else ''}ORDER BY {order_key(str(seed), repr('shuffle'), 'k')}, {keys}"
     cte(
         f"{name}_pairs",
-        f"""SELECT xs, coalesce(lead(xs) OVER ({order}), first_value(xs) OVER ({order} ROWS UNBOUNDED PRECEDING)) AS other
+        f"""SELECT {own}xs, coalesce(lead(xs) OVER ({order}), first_value(xs) OVER ({order} ROWS UNBOUNDED PRECEDING)) AS other
         FROM {name}_rows""",
         f"{name}_rows", keep=True,
     )
     replaced = ", ".join(f"CASE WHEN j = {j} THEN other[{j + 1}] ELSE xs[{j + 1}] END" for j in range(len(features)))
     cte(
         f"{name}_copies",
-        f"SELECT j, [{replaced}] AS xs, count(*) AS n FROM {name}_pairs, range(-1, {len(features)}) t(j) GROUP BY ALL",
+        f"SELECT {own}j, [{replaced}] AS xs, count(*) AS n FROM {name}_pairs, range(-1, {len(features)}) t(j) GROUP BY ALL",
         f"{name}_pairs", keep=True,
     )
     cte(f"{name}_changed", f"SELECT 0 AS f, xs, row_number() OVER () AS id FROM (SELECT DISTINCT xs FROM {name}_copies)", f"{name}_copies", keep=True)
-    scored(name, f"{name}_changed", f"{name}_changed_points", trees)
+    scored(forest or name, f"{name}_changed", f"{name}_changed_points", trees)
     cte(
         f"{name}_means",
-        f"""SELECT j, sum(n * raw_score) / sum(n) AS s FROM {name}_copies JOIN {name}_changed USING (xs)
-        JOIN {name}_changed_points USING (id) GROUP BY j""",
+        f"""SELECT {own}j, sum(n * raw_score) / sum(n) AS s FROM {name}_copies JOIN {name}_changed USING (xs)
+        JOIN {name}_changed_points USING (id) GROUP BY {own}j""",
         f"{name}_copies", f"{name}_changed", f"{name}_changed_points", keep=True,
     )
     names = ", ".join(f"'{f}'" for f in features)
-    change = f"abs((SELECT s FROM {name}_means WHERE j = -1) - s)"
+    all_of = f"PARTITION BY {by}" if by else ""
     cte(
         f"{name}_importance",
-        f"""SELECT [{names}][j + 1] AS feature, round({change} / (sum({change}) OVER () + {num(1e-9)}), 6) AS importance
-        FROM {name}_means WHERE j >= 0""",
+        f"""SELECT {own}[{names}][j + 1] AS feature, round(change / (sum(change) OVER ({all_of}) + {num(1e-9)}), 6) AS importance
+        FROM (SELECT *, abs(any_value(s) FILTER (j = -1) OVER ({all_of}) - s) AS change FROM {name}_means) WHERE j >= 0""",
         f"{name}_means",
     )

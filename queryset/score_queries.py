@@ -10,7 +10,7 @@ from vigilog.operators import evaluation, forest, fusion, line_features, line_ru
 
 from . import logs
 from .registry import query
-from .sql import BURST, LINE_FLAGS, QUALITY_ROUNDED, cells, fused, num, rule_selects, sql, threat
+from .sql import BURST, LINE_FLAGS, QUALITY_ROUNDED, cells, fused, num, sql, threat
 from .sql import severity as severity_sql
 
 HYBRID_LIST = ", ".join(fusion.HYBRID_COLUMNS)
@@ -289,44 +289,3 @@ def ablation_lines(spark, sf_dir):
     return evaluation.ablation_lines(
         fusion.rule_predictions(scored, line_rules.evaluate_rules(lines))
     )
-
-
-# --- batches ----------------------------------------------------------------------------
-_BATCHES = 8
-_BATCH_TABLES = ", ".join(
-    f"batch_{n} AS (SELECT * FROM scored WHERE line_key // 4 % {_BATCHES} = {n} AND dataset = 'ssh')"
-    for n in range(_BATCHES)
-)
-_BATCH_ALERTS = " UNION ALL ".join(
-    f"SELECT {n} AS batch, rule_score FROM ({select})"
-    for n in range(_BATCHES)
-    for rule, select in rule_selects(f"batch_{n}").items()
-    if rule.startswith("AUTH")
-)
-_BATCH_LINES = " UNION ALL ".join(
-    f"SELECT {n} AS batch, count(*) AS events, avg(anomaly_score) AS a FROM batch_{n}"
-    for n in range(_BATCHES)
-)
-
-
-@query(
-    "batch_verdict",
-    sql("", "scored").rstrip() + f""", {_BATCH_TABLES},
-    verdicts AS (SELECT l.batch, events, coalesce(hits, 0) AS rule_hits, a, coalesce(r, 0.0) AS r
-      FROM ({_BATCH_LINES}) l LEFT JOIN (SELECT batch, count(*) AS hits, max(rule_score) AS r
-        FROM ({_BATCH_ALERTS}) GROUP BY batch) USING (batch)),
-    fused AS (SELECT CAST(batch AS BIGINT) AS batch, events, rule_hits, {fused('r', 'a', fv.LINE_ALPHA)} FROM verdicts)
-    SELECT *, CASE WHEN rule_hits > 0 THEN 'signatures triggered' WHEN threat_score >= {num(0.4)}
-      THEN 'structurally anomalous' ELSE 'clean' END AS verdict FROM fused""",
-)
-def batch_verdict(spark, sf_dir):
-    """The SSH log cut into batches; each is judged on its own."""
-    lines = logs.written_logs(spark, sf_dir)
-    scored = logs.stand_in_lines(lines)
-    ssh = scored.filter(F.col("line_key") % 4 == 0).withColumns(
-        {"batch": F.floor(F.col("line_key") / 4) % _BATCHES, "log_type": F.lit("ssh")}
-    )
-    alerts = line_rules.evaluate_rules(
-        ssh, [r.rule_id for r in fv.LINE_RULES if r.rule_id.startswith("AUTH")], by=["batch"]
-    )
-    return reports.batch_verdict(ssh, alerts)

@@ -232,10 +232,7 @@ def grid_tune(spark, sf_dir):
 _FOLD_MIX = threat("rule_score", "score", BGL.alpha)
 
 
-@query(
-    "cv_summary",
-    sql(
-        f"""SELECT count(*) AS folds, round(avg(f1), 4) AS f1_mean, round(stddev_samp(f1), 4) AS f1_std,
+CV_SUMMARY = f"""SELECT count(*) AS folds, round(avg(f1), 4) AS f1_mean, round(stddev_samp(f1), 4) AS f1_std,
           round(avg(precision), 4) AS p_mean, round(stddev_samp(precision), 4) AS p_std,
           round(avg(recall), 4) AS r_mean, round(stddev_samp(recall), 4) AS r_std,
           round(avg(fpr), 4) AS fpr_mean, round(stddev_samp(fpr), 4) AS fpr_std
@@ -243,10 +240,10 @@ _FOLD_MIX = threat("rule_score", "score", BGL.alpha)
           FROM (SELECT fold, label, rule_score, {num(1.0)} - (raw - min(raw) OVER f)
               / (max(raw) OVER f - min(raw) OVER f + {num(1e-9)}) AS score
             FROM (SELECT *, win_no % 5 AS fold, -unique_ratio AS raw FROM bgl_scored)
-            WINDOW f AS (PARTITION BY fold)) GROUP BY fold))""",
-        "bgl_scored",
-    ),
-)
+            WINDOW f AS (PARTITION BY fold)) GROUP BY fold))"""
+
+
+@query("cv_summary", sql(CV_SUMMARY, "bgl_scored"))
 def cv_summary(spark, sf_dir):
     """Folds and raw scores are stand-ins; bounds, fusion and metrics are per fold."""
     table = logs.cluster_scored(spark, sf_dir, "bgl").select(

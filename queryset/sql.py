@@ -263,6 +263,29 @@ def linux_columns() -> dict[str, str]:
 
 cte("linux", parsed_select("linux_parts", linux_columns()), "linux_parts")
 
+_PARSERS = {
+    "ssh": ("ssh_kinds", "ssh"), "hdfs": ("hdfs_parts", "hdfs"),
+    "apache": ("apache_parts", "apache"), "linux": ("linux_parts", "linux"),
+}
+
+
+def parse_as(kind: str, prefix: str) -> None:
+    """Expression ``{prefix}{kind}``: the lines of ``{prefix}{kind}_raw`` parsed as a kind."""
+    for name in _PARSERS[kind]:
+        body, needs = CTES[name]
+        for need in needs:
+            body = body.replace(f"FROM {need}", f"FROM {prefix}{need}")
+        cte(f"{prefix}{name}", body, *[f"{prefix}{need}" for need in needs])
+
+
+def detected_type(column: str) -> str:
+    """Format of the first lines joined to one text."""
+    return (
+        f"CASE WHEN {any_word(f'lower({column})', fv.DETECT_SSH_WORDS)} THEN 'ssh' WHEN {hit(column, fv.DETECT_HDFS)}"
+        f" THEN 'hdfs' WHEN {hit(column, fv.DETECT_APACHE)} THEN 'apache' ELSE 'linux' END"
+    )
+
+
 # --- labels -----------------------------------------------------------------------------
 cte(
     "ssh_labels",
@@ -356,8 +379,9 @@ ALERT_LIST = (
 )
 
 
-def rule_selects(table: str, fixed: bool = False) -> dict[str, str]:
-    """One select per rule over a table of parsed lines."""
+def rule_selects(table: str, fixed: bool = False, by: str | None = None) -> dict[str, str]:
+    """One select per rule over a table of parsed lines, which ``by`` cuts into batches."""
+    own = f"{by}, " if by else ""
     ssh, apache = "source IN ('auth', 'ssh', 'linux')", "source = 'apache'"
     order = {r.rule_id: n for n, r in enumerate(fv.LINE_RULES)}
     meta = {r.rule_id: r for r in fv.LINE_RULES}
@@ -368,17 +392,17 @@ def rule_selects(table: str, fixed: bool = False) -> dict[str, str]:
               count: str = "count(*)") -> str:
         r = meta[rule]
         return (
-            f"SELECT CAST({order[rule]} AS INTEGER) AS rule_ord, min(line_key) AS first_key,"
+            f"SELECT {own}CAST({order[rule]} AS INTEGER) AS rule_ord, min(line_key) AS first_key,"
             f" '{rule}' AS rule_id, '{r.name}' AS rule_name, {description} AS description,"
             f" {sev or text(r.severity)} AS severity, ip AS source_ip, {count} AS count,"
             f" {score} AS rule_score, {sample} AS sample_raw FROM {table}"
-            f" WHERE {where} GROUP BY ip HAVING {count} >= {need}"
+            f" WHERE {where} GROUP BY {own}ip HAVING {count} >= {need}"
         )
 
     def line(rule: str, where: str, description: str, score: float, ip: str = "ip") -> str:
         r = meta[rule]
         return (
-            f"SELECT CAST({order[rule]} AS INTEGER) AS rule_ord, line_key AS first_key,"
+            f"SELECT {own}CAST({order[rule]} AS INTEGER) AS rule_ord, line_key AS first_key,"
             f" '{rule}' AS rule_id, '{r.name}' AS rule_name, {description} AS description,"
             f" '{r.severity}' AS severity, {ip} AS source_ip, CAST(1 AS BIGINT) AS count,"
             f" {num(score)} AS rule_score, raw AS sample_raw FROM {table} WHERE {where}"

@@ -382,6 +382,8 @@ LINE_ABLATION_THRESHOLD = 0.5
 AI_ONLY_CUT = 0.65
 ALERT_SAMPLE_CHARS = 120
 ALERT_HEAD = 100
+EXPLAIN_CUT = 0.1
+EXPLAIN_FEATURES = 12
 
 LINE_TREES = 200
 SESSION_TREES = 100

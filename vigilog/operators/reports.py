@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scoring import fuse_columns
+from ..sources.results import metric_rows
 from .sessions import rule_column
 
 
@@ -150,9 +151,9 @@ def result_comparison(metrics: DataFrame) -> DataFrame:
     Takes rows ``dataset``, ``total``, ``latency``, ``method``, ``precision``, ``recall``,
     ``f1``, ``fpr``. Methods are told apart by their names.
     """
-    name = F.col("method")
-    rule = ~name.contains("Hybrid") & name.contains("Rule")
-    forest, hybrid = name.contains("Forest"), name.contains("Hybrid")
+    name = F.lower("method")
+    rule = ~name.contains("hybrid") & name.contains("rule")
+    forest, hybrid = name.contains("forest"), name.contains("hybrid")
 
     def of(which: Column, column: str) -> Column:
         return F.max(F.when(which, F.col(column)))
@@ -169,6 +170,25 @@ def result_comparison(metrics: DataFrame) -> DataFrame:
     )
 
 
+def comparison_report(documents: DataFrame) -> DataFrame:
+    """``result_comparison`` with the F1 of a plain baseline and cross-validation, one row per data set.
+
+    Takes ``read_documents``. Of two documents of a kind for one data set, the later in the catalogue counts.
+    ``baseline_f1`` comes from documents of a single method, and ``f1_gain`` is the hybrid's F1 over it. A data
+    set that only has some of the documents keeps its row, with nulls for the others.
+    """
+    # A few rows per catalogue entry, whatever the logs' size.
+    order = Window.partitionBy("dataset", "kind").orderBy(F.desc("entry"))
+    last = documents.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    table = result_comparison(metric_rows(last))
+    single = last.filter("kind = 'single'").select("dataset", F.col("f1").alias("baseline_f1"))
+    folds = last.filter("kind = 'folds'").select(
+        "dataset", *[F.col(c).alias(f"cv_{c}") for c in ("f1_mean", "f1_std", "fpr_mean", "fpr_std")]
+    )
+    joined = table.join(single, "dataset", "full").join(folds, "dataset", "full")
+    return joined.withColumn("f1_gain", F.round(F.col("hybrid_f1") - F.col("baseline_f1"), 4))
+
+
 # --- batches ----------------------------------------------------------------------------
 
 

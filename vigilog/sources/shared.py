@@ -44,6 +44,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on the file system that it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[None]:
     """Tables written by steps inside are removed at the end, however it comes.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,23 +67,25 @@ def parse_files(spark: SparkSession, paths: str | list[str], source: str) -> Dat
     return parse_source(scan_lines(spark, paths), source)
 
 
-def detect_log_type(lines: DataFrame) -> DataFrame:
+def detect_log_type(
+    lines: DataFrame, by: str = "file", order: Sequence[str] = ("split_start", "pos")
+) -> DataFrame:
     """The format of each file, judged by its first ten lines joined to one text.
 
-    Takes ``scan_all_lines``. The rank limit is applied before the shuffle, so a file sends at
-    most ten lines per task.
+    Takes ``scan_all_lines``, or any ``raw`` lines cut ``by`` a column and put in ``order``. The rank
+    limit is applied before the shuffle, so a file sends at most ten lines per task.
     """
-    order = Window.partitionBy("file").orderBy("split_start", "pos")
+    order = Window.partitionBy(by).orderBy(*order)
     sample = (
         lines.withColumn("__rank", F.row_number().over(order))
         .filter(F.col("__rank") <= fv.DETECT_SAMPLE_LINES)
-        .groupBy("file")
+        .groupBy(by)
         .agg(F.sort_array(F.collect_list(F.struct("__rank", "raw"))).alias("__lines"))
-        .select("file", F.array_join(F.col("__lines.raw"), " ").alias("__text"))
+        .select(by, F.array_join(F.col("__lines.raw"), " ").alias("__text"))
     )
     text = F.col("__text")
     return sample.select(
-        "file",
+        by,
         F.when(contains_any(F.lower(text), fv.DETECT_SSH_WORDS), "ssh")
         .when(matches(text, fv.DETECT_HDFS), "hdfs")
         .when(matches(text, fv.DETECT_APACHE), "apache")
