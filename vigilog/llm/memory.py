@@ -26,13 +26,23 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @cache
-def lean() -> None:
-    """Let this process give large free blocks back at once, instead of keeping those of its largest batch.
-
-    Called where a function meets its first batch: a worker that goes from one function to the next then
-    holds what it needs at the time. Does nothing where the C library has no such option."""
+def _library() -> ctypes.CDLL | None:
+    """The C library, told to give large free blocks back at once; none where it has no such options."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
-        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, LARGE)
+        library = ctypes.CDLL(None)
+        library.mallopt(M_MMAP_THRESHOLD, LARGE)
+        return library if library.malloc_trim else None
     except (AttributeError, OSError):
-        pass
+        return None
+
+
+def lean() -> None:
+    """Let this process give free memory back, instead of keeping what its largest batch took.
+
+    Called where a function meets a batch: a worker that goes from one function to the next then
+    holds what it needs at the time. Large blocks go back when they are free, smaller ones here, when the
+    batch before is gone. Does nothing where the C library has no such options."""
+    library = _library()
+    if library is not None:
+        library.malloc_trim(0)
