@@ -1,6 +1,6 @@
 """Bounds of batches that go to Python."""
 
-from vigilog.llm.memory import BATCH_BYTES, lean, small_batches
+from vigilog.llm.memory import BATCH_BYTES, held, lean, small_batches
 
 NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -16,3 +16,17 @@ def test_batches_are_bounded_unless_they_are_closer(spark):
     finally:
         spark.conf.set(NAME, before)
     assert lean() is None
+
+
+def test_what_a_function_holds_goes_with_it():
+    made = []
+
+    def make():
+        made.append(object())
+        return made[-1]
+
+    assert held("a", make) is held("a", make) is made[0]
+    assert held("b", make) is made[1]
+    assert held("a", make) is made[2]
+    lean()
+    assert held("a", make) is made[3] and len(made) == 4

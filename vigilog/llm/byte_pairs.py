@@ -24,7 +24,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .memory import lean
+from .memory import held
 
 #: Matches up to so many bytes are merged many at a time.
 SHORT = 64
@@ -319,16 +319,10 @@ class Ranks:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(arrays), [None, bounds.buffers()[1], gathered.buffers()[2]])
 
 
-_tables: dict[tuple[bytes, str], Ranks] = {}
-
-
 def _table(vocabulary: Broadcast, pattern: str) -> Ranks:
-    """One table per worker and vocabulary."""
-    lean()
+    """One table per worker, for as long as it encodes with this vocabulary; its word caches go with it."""
     key = (vocabulary.value, pattern)
-    if key not in _tables:
-        _tables[key] = Ranks(*key)
-    return _tables[key]
+    return held(key, lambda: Ranks(*key))
 
 
 class BytePairs:

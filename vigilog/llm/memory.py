@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 from functools import cache
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 #: Blocks of so many bytes go back to the system as soon as they are free. Fixed value of the C library's option.
 LARGE, M_MMAP_THRESHOLD = 1 << 20, -3
 #: Bytes of a batch that goes to a Python worker: several batches and what is made of them are held at a time.
@@ -37,12 +41,24 @@ def _library() -> ctypes.CDLL | None:
         return None
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for all batches of a function; it goes when a function of another key comes."""
+    if key not in _held:
+        lean()
+        _held[key] = make()
+    return _held[key]
+
+
 def lean() -> None:
     """Let this process give free memory back, instead of keeping what its largest batch took.
 
-    Called where a function meets a batch: a worker that goes from one function to the next then
-    holds what it needs at the time. Large blocks go back when they are free, smaller ones here, when the
-    batch before is gone. Does nothing where the C library has no such options."""
+    Called where a function that holds nothing meets a batch: a worker that goes from one function to the next
+    then holds what it needs at the time. What functions before it ``held`` is dropped. Large blocks go back when
+    they are free, smaller ones here, when the batch before is gone; not where the C library has no such options."""
+    _held.clear()
     library = _library()
     if library is not None:
         library.malloc_trim(0)
