@@ -32,3 +32,24 @@ def test_verdicts_sort_no_scores(spark):
     found = {r["batch"]: r for r in batch_verdict(scored, alerts).collect()}
     assert (found["a"]["events"], found["a"]["anomaly_score"], found["a"]["rule_hits"]) == (2, 0.5, 1)
     assert (found["b"]["events"], found["b"]["anomaly_score"], found["b"]["rule_hits"]) == (1, 1.0, 0)
+
+
+def test_long_projections_are_compiled(spark):
+    """The JVM compiles no method of more than 8000 bytes; a session that sets nothing allows 65,535."""
+    from vigilog.operators.line_features import line_features
+    from vigilog.operators.parsing import parse_ssh
+
+    name = "spark.sql.codegen.hugeMethodLimit"
+    own = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        spark.conf.set(name, "65535")
+        lines = parse_ssh(spark.createDataFrame([(1, "Dec 10 06:55:46 h sshd[1]: Failed password for root from 173.234.31.186 port 22 ssh2")], "line_key bigint, raw string"))
+        row = line_features(lines).first()
+        assert (row["is_failed_pw"], row["is_brute_signal"], row["is_root_user"]) == (1, 1, 1)
+        assert spark.conf.get(name) == "8000"
+        spark.conf.set(name, "4000")
+        line_features(lines)
+        assert spark.conf.get(name) == "4000"
+    finally:
+        spark.conf.set(name, own)
