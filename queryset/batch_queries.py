@@ -123,8 +123,8 @@ def _batches(spark, sf_dir) -> DataFrame:
 
 def _judgement(spark, sf_dir):
     """All batches, judged by a forest of the four logs' normal lines."""
-    labelled = materialise(logs.all_logs(spark, sf_dir), "labelled")
-    model = forest.fit(combined_features(labelled), COMBINED_FEATURES, ["line_key"], trees=fv.LINE_TREES)
+    featured = combined_features(logs.all_logs(spark, sf_dir)).select("line_key", "label", *COMBINED_FEATURES)
+    model = forest.fit(materialise(featured, "features"), COMBINED_FEATURES, ["line_key"], trees=fv.LINE_TREES)
     return judge_batches(_batches(spark, sf_dir), model)
 
 

@@ -1,7 +1,11 @@
 """Plans that must not depend on how well a table is compressed, and what they must still give."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from vigilog.operators import forest, lookup
 from vigilog.operators.fusion import normalise_scores
 from vigilog.operators.reports import batch_verdict
 
@@ -53,3 +57,73 @@ def test_long_projections_are_compiled(spark):
         assert spark.conf.get(name) == "4000"
     finally:
         spark.conf.set(name, own)
+
+
+def made_facts(spark):
+    """A frequent key, rare ones, an unknown one, rows without a key."""
+    facts = spark.range(3000).select(
+        F.col("id").alias("line_key"),
+        F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
+    )
+    dim = spark.createDataFrame([("hot", 1), *[(f"k{n}", n) for n in range(30)]], "k string, v int")
+    return facts, dim
+
+
+@pytest.mark.parametrize("limits", [{}, {"SENT_ROWS": 3}, {"SENT_BYTES": 10}])
+def test_lookup_gives_the_same_on_both_ways(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(lookup, name, value)
+    facts, dim = made_facts(spark)
+    found = lookup.lookup(facts, dim, "k")
+    assert ("SortMergeJoin" in plan_of(found)) == bool(limits)
+    wanted = facts.join(dim, "k", "left").select("line_key", "k", "v")
+    assert sorted(found.select("line_key", "k", "v").collect(), key=str) == sorted(wanted.collect(), key=str)
+
+
+def test_facts_of_a_small_table_are_not_shuffled(spark):
+    """Whatever size the planner gives to an aggregate."""
+    facts, dim = made_facts(spark)
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(lookup.lookup(facts, dim, "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("settings", [{}, {"KNOWN_ROWS": 5}, {"KNOWN_ROWS": 1}, {"WALKED": 1}])
+def test_a_task_walks_a_row_once(monkeypatch, settings):
+    """Scores are those of each row alone, and rows that were seen in an earlier batch are not walked again."""
+    for name, value in settings.items():
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 3, (40, 4)).astype(float)
+    build = forest._tree_builder(list("abcd"), 1)
+    trees = []
+    for tree in range(7):
+        sample = pd.DataFrame(pool[rng.integers(0, 40, 20)], columns=list("abcd"))
+        trees.append(build(sample.assign(rank=range(20), fold=0, tree=tree)))
+    nodes = type("Nodes", (), {"toPandas": lambda _: pd.concat(trees)})()
+    alone = [forest.scorer(nodes)(0, row[None])[0] for row in pool]
+    score = forest.scorer(nodes)
+    for _ in range(3):
+        at = rng.integers(0, 40, 100)
+        assert score(0, pool[at]).tolist() == [alone[i] for i in at]
+    assert score(0, pool[:0]).tolist() == []
+    if not settings:
+        score(0, pool)
+        took = []
+        monkeypatch.setattr(np, "exp2", lambda x: took.append(len(x)) or x)
+        score(0, pool)
+        assert not took
+
+
+def test_rows_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(forest, "_row_hashes", lambda bits: np.zeros(len(bits), np.uint64))
+    x = np.array([[1.0, 2.0], [2.0, 1.0], [1.0, 2.0]])
+    rows, back = forest.distinct_rows(x)
+    assert (rows[back] == x).all() and len(rows) == 2
+    known = forest.Known()
+    for _ in range(2):
+        assert known.scores(rows, lambda new: new.sum(axis=1) + new[:, 0]).tolist() == (rows.sum(axis=1) + rows[:, 0]).tolist()

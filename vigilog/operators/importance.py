@@ -92,12 +92,17 @@ def _sums(model: Model, features: int):
             values = batch.to_numpy(dtype=float)
             own, other = values[:, :features], values[:, features:]
             rows = np.bincount(codes, minlength=len(names))
+            base = score(0, own)
             for j in range(-1, features):
-                changed = own
+                scores = base
                 if j >= 0:
-                    changed = own.copy()
-                    changed[:, j] = other[:, j]
-                sums = np.bincount(codes, weights=score(0, changed), minlength=len(names))
+                    # Most features of most rows are those of the other row as well, and their score is known.
+                    differs = np.flatnonzero(own[:, j] != other[:, j])
+                    changed = own[differs]
+                    changed[:, j] = other[differs, j]
+                    scores = base.copy()
+                    scores[differs] = score(0, changed)
+                sums = np.bincount(codes, weights=scores, minlength=len(names))
                 yield pd.DataFrame({"batch": names, "j": j, "s": sums, "n": rows})
 
     return sums

@@ -31,7 +31,8 @@ def score_lines(
 ) -> tuple[forest.Model, DataFrame]:
     """Fit on normal lines, score all: adds ``anomaly_score`` and ``if_pred``.
 
-    Raw scores are written out before their minimum, maximum and quantile are taken.
+    Features are read four times and should be written. Raw scores are written out before their minimum, maximum
+    and quantile are taken.
     """
     share = evaluation.line_contamination(featured).first()["contamination"]
     model = forest.fit(featured, COMBINED_FEATURES, ["line_key"], trees=trees)
@@ -44,11 +45,13 @@ def score_lines(
 def detect_lines(labelled: DataFrame, trees: int = fv.LINE_TREES) -> LineDetection:
     """Features, forest, rules, fusion and metrics for one labelled table of parsed lines.
 
-    The parsed table is written once, since features, rules and alerts all read it.
+    Lines are written once, with their features, since forest, rules and alerts all read them. Before, the activity of
+    addresses is counted over ``labelled``, which is hence read twice: parsed lines should be written, as the
+    sources do.
     """
-    lines = materialise(labelled, "parsed-lines")
-    model, scored = score_lines(combined_features(lines), trees)
-    alerts = materialise(evaluate_rules(lines), "rule-alerts")
+    lines = materialise(combined_features(labelled), "line-features")
+    model, scored = score_lines(lines, trees)
+    alerts = materialise(evaluate_rules(lines.drop(*COMBINED_FEATURES)), "rule-alerts")
     predicted = fusion.rule_predictions(scored, alerts)
     return LineDetection(
         model=model,
