@@ -37,7 +37,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest ``doc_id``.
 
-    Near copies share 0.8 or more of their shingles of five words, found without loss.
+    Near copies are found by SimHash (``op5``); such links are checked, and completed without loss, by their texts:
+    near copies share 0.8 or more of their shingles of five words.
     Of rows with this id the least stays. In a group without any id one row stays as well."""
     small_batches(spark)
     docs = docs.select(*COLUMNS)

@@ -4,9 +4,11 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_simhash import groups
 
 from vigilog.llm import near_copies as module
+from vigilog.llm import simhash
 from vigilog.llm.near_copies import near_copies
 
 
@@ -82,3 +84,16 @@ def test_stage_against_brute_force(spark, sf_dir):
     parts = groups(plain_links({r.doc_id: r.text for r in docs.collect()}))
     out = corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()
     assert sorted(r.doc_id for r in out) == sorted({min(p) for p in parts.values()})
+
+
+def test_fingerprints_link_and_texts_are_checked(spark, monkeypatch):
+    """Without the pairs that shingles add, SimHash still finds what lies within its radius, and no link is unchecked."""
+    words = [f"w{i}" for i in range(400)]
+    texts = {0: " ".join(words), 1: " ".join([*words, "more"]), 2: " ".join(f"v{i}" for i in range(400)), 3: "a b c", 4: "a b d", 5: None, 6: " "}
+    prints = {i: simhash.fingerprint_of(t) for i, t in texts.items()}
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS < ((prints[0] ^ prints[2]) & (2**64 - 1)).bit_count()
+    monkeypatch.setattr(module, "_often", lambda met: met.select("a", "b").limit(0))
+    assert components(spark, texts) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+    # Fingerprints that are all equal link all texts, of which only similar ones stay linked.
+    monkeypatch.setattr(simhash, "fingerprint", lambda text: F.lit(7).cast("bigint"))
+    assert components(spark, {0: "a b c", 1: "d e f", 2: "A B c"}) == {0: 0, 1: 1, 2: 0}

@@ -1,5 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles, without losing a pair.
+"""Near copies by SimHash fingerprints, checked and completed by Jaccard similarity of word shingles, without losing a pair.
 
+Fingerprints (``simhash``) link first: texts of equal ones, and of ones within its radius, by its vantage-point trees.
+Such a link counts if the texts are similar indeed. Four bits miss some similar texts, which shingles add:
 Texts with equal sets of shingles are one point. Two sets of a similarity of at least 4/5 share at
 least ``SHARED`` of their first ``size / 5 + SHARED`` shingles in any common order, and more the nearer
 their sizes are, so only points that meet so often under these shingles are compared, by their texts.
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialise
+from . import simhash
 from .components import connected_components
 from .memory import lean
 
@@ -250,6 +253,18 @@ def _often(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n")).filter(F.col("n") >= both - left).select("a", "b")
 
 
+def _fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of keys that the fingerprints ``fp`` of rows ``key, fp`` link: each key with the least of its
+    fingerprint, and the least ones of linked fingerprints. They hang together as all texts within the radius do."""
+    named = materialise(prints.select("key", "fp").distinct(), "key-prints")
+    least = materialise(named.groupBy("fp").agg(F.min("key").alias("least")), "print-keys")
+    equal = named.join(least, "fp").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    found = simhash.links(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("left")), "a")
+    found = found.join(least.select(F.col("fp").alias("b"), F.col("least").alias("right")), "b")
+    both = equal.unionByName(found.select(F.col("left").alias("a"), F.col("right").alias("b")))
+    return both.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, key, component_id, component`` of each row of ``doc_id, text``.
 
@@ -260,7 +275,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     found = docs.withColumn("p", _points("text", spark.sparkContext.broadcast(_frequent(docs))))
-    prints = materialise(found.select("doc_id", "p.key", "p.size", "p.first"), "prints")
+    found = found.select("doc_id", "p.key", "p.size", "p.first", simhash.fingerprint("text").alias("fp"))
+    prints = materialise(found, "prints")
     points = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("first_id")), "points")
 
     single = prints.select("key", "size", "first").dropDuplicates(["key"])
@@ -273,7 +289,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     close = F.least("size", "least.size") * BELOW >= F.greatest("size", "least.size") * ABOVE
     stars = shared.filter((F.col("key") != F.col("least.key")) & close)
     stars = stars.select(F.col("key").alias("a"), F.col("least.key").alias("b"), F.col("size").alias("size_a"), F.col("least.size").alias("size_b"))
-    near = materialise(_alike(materialise(_often(stars), "stars"), docs), "near")
+    pairs = _fingerprint_pairs(prints).unionByName(_often(stars)).distinct()
+    near = materialise(_alike(materialise(pairs, "stars"), docs), "near")
 
     parts = connected_components(near).select(F.col("node").alias("key"), "component")
     placed = shared.select("shingle", "key", "size").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key"))
