@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vigilog.operators import forest, lookup
+from vigilog.functions.text import drop_invalid_bytes, strip
+from vigilog.operators import forest, line_features, line_rules, lookup, parsing
 from vigilog.operators.fusion import normalise_scores
 from vigilog.operators.reports import batch_verdict
 
@@ -127,3 +128,14 @@ def test_rows_of_equal_hashes_are_told_apart(monkeypatch):
     known = forest.Known()
     for _ in range(2):
         assert known.scores(rows, lambda new: new.sum(axis=1) + new[:, 0]).tolist() == (rows.sum(axis=1) + rows[:, 0]).tolist()
+
+
+def test_a_line_is_taken_apart_by_one_run_of_a_pattern(spark):
+    lines = spark.createDataFrame([(0, "Jun 1 10:00:00 h sshd[1]: Failed password for root from 1.2.3.4 port 1"),
+                                   (1, "Jun 1 10:00:00 h sshd[1]: error: Failed password for nobody"),
+                                   (2, "Failed password for a line of no form"), (3, None), (4, "")], "line_key bigint, raw string")
+    found = {r["line_key"]: (r["event_type"], r["ip"]) for r in parsing.parse_ssh(lines).collect()}
+    # The literal of one pattern and the form of another: the patterns are tried in order.
+    assert found == {0: ("failed_password", "1.2.3.4"), 1: ("ssh_error", None), 2: ("unknown", None), 3: ("unknown", None), 4: ("unknown", None)}
+    for parse in (parsing.parse_hdfs, parsing.parse_apache):
+        assert "RLIKE" not in plan_of(parse(lines)).upper()
