@@ -139,3 +139,11 @@ def test_a_line_is_taken_apart_by_one_run_of_a_pattern(spark):
     assert found == {0: ("failed_password", "1.2.3.4"), 1: ("ssh_error", None), 2: ("unknown", None), 3: ("unknown", None), 4: ("unknown", None)}
     for parse in (parsing.parse_hdfs, parsing.parse_apache):
         assert "RLIKE" not in plan_of(parse(lines)).upper()
+
+
+def test_lines_that_fire_no_rule_go_before_alerts_are_made(spark):
+    lines = parsing.parse_apache(spark.createDataFrame([(0, '1.2.3.4 - - [t] "GET /../x HTTP/1.1" 200 1'), (1, "[t] [error] x")], "line_key bigint, raw string"))
+    alerts = line_rules.evaluate_rules(lines, ["HTTP-003"])
+    assert [r["first_key"] for r in alerts.collect()] == [0]
+    optimized = alerts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in optimized[optimized.index("Generate") :].split("Generate")[1]
