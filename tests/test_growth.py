@@ -147,3 +147,11 @@ def test_lines_that_fire_no_rule_go_before_alerts_are_made(spark):
     assert [r["first_key"] for r in alerts.collect()] == [0]
     optimized = alerts._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in optimized[optimized.index("Generate") :].split("Generate")[1]
+
+
+def test_features_are_written_without_texts(spark):
+    lines = parsing.parse_hdfs(spark.createDataFrame([(0, "malformed")], "line_key bigint, raw string"))
+    featured = line_features.written_features(lines, ["line_key"])
+    assert [tuple(r) for r in featured.select("line_key", "is_hdfs", "is_unknown", "ip_total_count").collect()] == [(0, 1, 1, 0)]
+    written = spark.read.parquet(*[f for f in featured.inputFiles() if "line-features" in f]).columns
+    assert set(written) == {"line_key", "ip", "event_type", *line_features.LINE_FEATURES}
