@@ -155,3 +155,12 @@ def test_features_are_written_without_texts(spark):
     assert [tuple(r) for r in featured.select("line_key", "is_hdfs", "is_unknown", "ip_total_count").collect()] == [(0, 1, 1, 0)]
     written = spark.read.parquet(*[f for f in featured.inputFiles() if "line-features" in f]).columns
     assert set(written) == {"line_key", "ip", "event_type", *line_features.LINE_FEATURES}
+
+
+def test_white_space_and_bad_bytes_are_dropped_without_patterns(spark):
+    spaces = "".join(c for c in map(chr, range(0x3100)) if c.isspace() and not 0x1C <= ord(c) <= 0x1F)
+    rows = spark.createDataFrame([(f"{spaces}a{spaces}b{spaces}".encode(),), (spaces.encode(),), (b"x\xff y\xef\xbf\xbd",), (b"",), (None,)], "b binary")
+    text = F.col("b").cast("string")
+    found = [r["t"] for r in rows.select(strip(drop_invalid_bytes(text)).alias("t")).collect()]
+    assert found == [f"a{spaces}b", "", "x y", "", None]
+    assert "regexp" not in plan_of(rows.select(strip(text).alias("t"))).lower()
