@@ -1,8 +1,12 @@
 """Language models against a plain version, and held-out accuracy."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from vigilog.llm.language import ORDER, ContextModel, _symbols, _windows, identify, train
 from vigilog.llm.queries import QUERIES
 
@@ -76,3 +80,16 @@ def test_odd_rows(spark):
     assert all(0 <= x.score <= 1 for x in out) and out[1].score == 0
     assert train(df.limit(0)) is None
     assert {r.f.lang_pred for r in probe.select(identify(probe, None).alias("f")).collect()} == {"und"}
+
+
+def test_model_takes_little_beside_its_costs():
+    """The driver makes the model: it holds no second table of the longest contexts."""
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 157, (60_000, 4))
+    window = np.unique((letters << np.array([24, 16, 8, 0])).sum(axis=1))
+    counts = pa.table({"lang": [f"l{i % 2}" for i in range(len(window))], "window": window, "n": np.ones(len(window), np.int64)})
+    tracemalloc.start()
+    model = ContextModel(counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * model.cost.nbytes

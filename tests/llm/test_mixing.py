@@ -1,5 +1,7 @@
 """Mixing against its SQL and by hand."""
 
+import re
+
 from oracle_check import difference
 
 from vigilog.llm.mixing import mix
@@ -52,3 +54,17 @@ def test_larger_budgets_are_supersets(spark):
     small = {r.doc_id for r in mix(df, [1], share=0.3, keep=["doc_id"]).collect() if r.times}
     large = {r.doc_id for r in mix(df, [1], share=0.6, keep=["doc_id"]).collect() if r.times}
     assert small < large
+
+
+def test_texts_are_not_shuffled_by_source(spark):
+    """The plan, a row for each source, is sent to the tasks, whatever the session's limit for it."""
+    docs = spark.createDataFrame([(i, "w " * 30, f"s{i % 3}") for i in range(50)], "doc_id bigint, text string, source string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = mix(docs, [1, 1], keep=["doc_id", "text"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"\w+Join", plan)[0] == "BroadcastHashJoin"
+        assert out.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -97,3 +97,17 @@ def test_fingerprints_link_and_texts_are_checked(spark, monkeypatch):
     # Fingerprints that are all equal link all texts, of which only similar ones stay linked.
     monkeypatch.setattr(simhash, "fingerprint", lambda text: F.lit(7).cast("bigint"))
     assert components(spark, {0: "a b c", 1: "d e f", 2: "A B c"}) == {0: 0, 1: 1, 2: 0}
+
+
+def test_common_lines_bring_no_texts_together(spark):
+    """Shingles of a line in all short documents come last, whatever their hash, so that no document is looked up under them."""
+    line = " ".join(f"common{i}" for i in range(12))
+    texts = [" ".join(f"w{i}x{j}" for j in range(12)) + " " + line for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    found = module._frequent(docs)
+    common = module._hashes(line)
+    assert (common < 0).any() and set(found.counts.tolist()) == {80} and len(found.every) == len(common)
+    for text in texts:
+        assert not set(found.first(module._hashes(text)).tolist()) & set(common.tolist())
+        # Only shingles of one document are left, which lead to no other.
+        assert len(found.meeting(found.first(module._hashes(text)))) < 3

@@ -2,8 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from vigilog.llm import secrets as module
 from vigilog.llm.queries import QUERIES
 from vigilog.llm.secrets import CANDIDATE, FEATURES, REDACTED, candidates, features, planted_findings, redact, scan, train
 
@@ -93,3 +95,24 @@ def test_query(spark, sf_dir):
     for i, text in texts.items():
         for m in re.finditer(r'token = "([0-9a-f]{40})"', text or "", re.I):
             assert (i, m.start(1)) in found
+
+
+@pytest.mark.parametrize("bits", [1, 3, 24])
+def test_texts_without_secrets_are_not_shuffled(spark, monkeypatch, bits):
+    """Only texts whose bit is marked are joined; others that share it stay as they are."""
+    monkeypatch.setattr(module, "MARK_BITS", bits)
+    rows = [(i, f"text {i} with key{i}") for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    findings = docs.filter("doc_id < 60").select(
+        module.text_key("text").alias("text_key"), F.concat(F.lit("key"), "doc_id").alias("candidate"), (F.col("doc_id") % 7 == 0).alias("is_secret")
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = module.redact(docs, findings)
+        found = dict(out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {i: t.replace(f"key{i}", module.REDACTED) if t and i < 60 and i % 7 == 0 else t for i, t in rows}
+    assert "Union" in plan

@@ -105,7 +105,12 @@ class ContextModel:
             contexts, at = np.unique(mapped % width ** (order + 1) // width, return_inverse=True)
             by_context = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[by_context], np.arange(len(contexts) + 1))
-            found = np.empty((len(contexts), size, width))
+            # Of the longest contexts, by far the most, only costs are kept: half the bytes, and no second copy.
+            last = order == ORDER
+            found = np.empty((0 if last else len(contexts), size, width))
+            if last:
+                self.cost = np.empty(((len(probability) + len(contexts)) * width, size), np.float32)
+                self._price(0, probability)
             for start in range(0, len(contexts), 1024):  # a piece at a time, to hold little
                 stop = min(start + 1024, len(contexts))
                 own = by_context[ends[start] : ends[stop]]
@@ -113,17 +118,25 @@ class ContextModel:
                 count = np.bincount(cell, n[own], (stop - start) * size * width).reshape(-1, size, width)
                 # The context with its oldest byte taken away.
                 shorter = probability[state[contexts[start:stop] % width ** max(order - 1, 0)]]
-                found[start:stop] = self._follow(count, shorter, unseen)
+                piece = self._follow(count, shorter, unseen)
+                if last:
+                    self._price(len(probability) + start, piece)
+                else:
+                    found[start:stop] = piece
             if order == 0:
                 probability = found
                 continue
             state = state[np.arange(width**order) % width ** (order - 1)]
             state[contexts] = len(probability) + np.arange(len(contexts))
-            probability = np.concatenate([probability, found])
+            if not last:
+                probability = np.concatenate([probability, found])
         self.state = state.astype(np.int32)
-        self.cost = np.empty((len(probability) * width, size), np.float32)
-        for i in range(size):
-            self.cost[:, i] = -np.log2(np.maximum(probability[:, i, :].reshape(-1), 1e-12))
+
+    def _price(self, first: int, probability: np.ndarray) -> None:
+        """Set the costs of contexts from number ``first`` on."""
+        rows = slice(first * self.width, (first + len(probability)) * self.width)
+        for i in range(probability.shape[1]):
+            self.cost[rows, i] = -np.log2(np.maximum(probability[:, i, :].reshape(-1), 1e-12))
 
     @staticmethod
     def _follow(count: np.ndarray, shorter: np.ndarray, unseen: int) -> np.ndarray:
@@ -158,6 +171,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCUMENTS) -> ContextModel
     The counts that the driver reads are bounded by the sample: one row per language and distinct
     run of ``ORDER + 1`` bytes of ``per_language`` documents.
     """
+    lean()  # what making the model takes goes back to the system, on the driver too
     rows = context_counts(training_rows(docs, per_language)).toArrow()
     return ContextModel(rows) if rows.num_rows else None
 

@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LEVEL_BITS = 10
 LEVELS = 6
 HASH_BITS = LEVEL_BITS * LEVELS
+#: Sources up to which their plan, a short row for each, is sent to every task and no text is shuffled.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -162,7 +164,9 @@ def mix(
     )
     plan = materialise(plan, "mix-plan")
     limits = materialise(thresholds(small, plan.select("source", "budget")), "mix-limits")
+    few = plan.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     plan = plan.join(limits.withColumnRenamed("source", "s"), _same(F.col("source"), F.col("s"))).drop("s")
+    plan = F.broadcast(plan) if few else plan
     more = (
         F.when(F.col("hash") < F.col("threshold"), F.col("size"))
         .when(F.col("hash") == F.col("threshold"), F.least("size", F.floor(F.col("rest") / F.col("tied"))))

@@ -7,11 +7,11 @@ least ``SHARED`` of their first ``size / 5 + SHARED`` shingles in any common ord
 their sizes are, so only points that meet so often under these shingles are compared, by their texts.
 
 The order puts shingles last that many documents share, such as those of a common passage, so that
-points meet under them only where they have little else. Half of all shingles, by hash, are counted
-over all documents; of the counted, those of at least ``MANY`` documents come last (the bound doubles
-until ``MAX_FREQUENT`` hold), and the uncounted come between. The order bears on the time alone, not
-on the result. Counted shingles of one document alone lead to no other: of those that are looked up only
-the ones in a bitmap of the repeated go on (it may hold others, the more the larger the table).
+points meet under them only where they have little else. All shingles are counted over all documents;
+those of at least ``MANY`` documents come last (the bound doubles until ``MAX_FREQUENT`` hold). The order
+bears on the time alone, not on the result. Shingles of one document alone lead to no other: of those
+that are looked up only the ones in a bitmap of the repeated go on (it may hold others, the more the
+larger the table).
 
 Under each shingle all points are compared with the least one first. Points that hang together by
 then need no comparison with one another, so a group of thousands of near copies takes thousands of
@@ -91,23 +91,32 @@ def similar(left: str | None, right: str | None) -> bool:
 
 class Frequent:
     """Codes of frequent shingles, sorted, and how many documents have them; a bitmap of all repeated ones. A
-    code is the beginning of a hash whose first bit is 0; two shingles may share one, which does no harm."""
+    code is the beginning of a hash; two shingles may share one, which does no harm. ``codes`` and ``times``
+    are those of hashes whose first bit is 0."""
 
-    def __init__(self, bits: int, codes: np.ndarray, times: np.ndarray, repeated: np.ndarray):
-        self.shift, self.codes, self.times, self.repeated = np.uint64(31 - bits), codes, times, repeated
+    def __init__(self, bits: int, every: np.ndarray, counts: np.ndarray, repeated: np.ndarray):
+        self.shift, self.every, self.counts, self.repeated = np.uint64(32 - bits), every, counts, repeated
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self.every[self.every < 1 << (63 - int(self.shift))]
+
+    @property
+    def times(self) -> np.ndarray:
+        return self.counts[: len(self.codes)]
 
     def meeting(self, hashes: np.ndarray) -> np.ndarray:
         """Those of the hashes that other documents may have."""
-        at = (hashes.view(np.uint64) >> np.uint64(63 - BITMAP_BITS)).view(np.int64) & ((1 << BITMAP_BITS) - 1)
-        return hashes[(hashes < 0) | (self.repeated[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        at = (hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).view(np.int64)
+        return hashes[(self.repeated[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
 
     def first(self, hashes: np.ndarray) -> np.ndarray:
         """Those of the distinct hashes that come first in the order."""
-        rank = (hashes < 0).astype(np.int64)
-        if len(self.codes) and len(hashes):
+        rank = np.zeros(len(hashes), np.int64)
+        if len(self.every) and len(hashes):
             codes = (hashes.view(np.uint64) >> self.shift).view(np.int64)
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            rank = np.where((self.codes[at] == codes) & (hashes >= 0), self.times[at] + 1, rank)
+            at = np.minimum(np.searchsorted(self.every, codes), len(self.every) - 1)
+            rank = np.where(self.every[at] == codes, self.counts[at], rank)
         return hashes[np.lexsort((hashes, rank))[: len(hashes) // BELOW + SHARED]]
 
 
@@ -141,14 +150,14 @@ def shingle_key(text: Column | str) -> Column:
 
 
 def _frequent(docs: DataFrame) -> Frequent:
-    """Shingles of at least ``MANY`` documents among the half that is counted, over all documents.
+    """Shingles of at least ``MANY`` documents, counted over all documents.
 
     A task packs the codes of its shingles by range of their hash, each once with the repeats it saw, so
     that a shingle of all documents comes once per batch; ranges are counted apart. Their number grows with
     the texts. Of the counts, only the frequent ones are kept, and at most ``MAX_FREQUENT`` are read."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(BITMAP_BITS - 3, max(4, int(total // COUNTED_BYTES).bit_length()))
-    shift = np.uint64(31 - bits)
+    shift = np.uint64(32 - bits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +165,7 @@ def _frequent(docs: DataFrame) -> Frequent:
             held = [np.empty(0, np.int64)]
             for text in batch.column(0):
                 hashes = _hashes(text.as_py())
-                held.append((hashes[hashes >= 0].view(np.uint64) >> shift).view(np.int64))
+                held.append((hashes.view(np.uint64) >> shift).view(np.int64))
             codes, times = np.unique(np.concatenate(held), return_counts=True)
             ends = np.searchsorted(codes, np.arange((1 << bits) + 1) << 32)
             again = times > 1

@@ -51,6 +51,8 @@ LEAST_DOCUMENTS = 100
 TREES = 30
 DEPTH = 7
 CUT = 0.5
+#: Bits of a digest by which texts with secrets are told from most others.
+MARK_BITS = 24
 
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "hex", "distinct", "changes", "vowel_turns", "dictionary",
@@ -246,16 +248,29 @@ def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``findings`` are those of ``scan`` over the same rows. A string that is a secret in a text is replaced
     wherever it stands in that text, and in no other: findings meet texts by their digest, whatever their
-    ``doc_id``.
+    ``doc_id``. A bitmap of fixed size keeps most texts without a secret from being shuffled, and a join the rest.
     """
+    findings = materialise(findings.filter("is_secret").select("text_key", "candidate"), "secrets")
     secrets = (
-        findings.filter("is_secret")
-        .groupBy("text_key")
+        findings.groupBy("text_key")
         .agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("found"))
     )
     clean = F.expr(f"aggregate(found, text, (t, s) -> replace(t, s, '{REDACTED}'))")
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), text_key("text").alias("own"))
-    joined = own.join(secrets, F.col("own") == F.col("text_key"), "left")
-    return joined.select(
-        *[F.coalesce(clean, F.col("text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    bit = _bit("text_key")
+    marks = findings.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
     )
+    marks = materialise(marks, "secret-marks")  # bounded: 2 ** MARK_BITS bits
+    at = F.bitmap_bit_position(_bit("own")).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = own.join(F.broadcast(marks), F.bitmap_bucket_number(_bit("own")) == F.col("bucket"), "left")
+    own = own.withColumn("marked", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("bucket", "bits")
+    joined = own.filter("marked").join(secrets, F.col("own") == F.col("text_key"), "left")
+    both = joined.select("row", F.coalesce(clean, F.col("text")).alias("text")).unionByName(own.filter("NOT marked").select("row", "text"))
+    return both.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _bit(key: Column | str) -> Column:
+    """The bit of a digest in the bitmap of texts with secrets, from 1."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS)) + 1
